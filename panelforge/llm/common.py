@@ -71,3 +71,13 @@ def squeeze(data: bytes) -> bytes:
 
 def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+
+
+def arrow_table(rows: list[tuple], ddl: str) -> pa.Table:
+    """Rows as an Arrow table of the columns that ddl names."""
+    fields = [f.split() for f in ddl.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return pa.table([pa.array(list(c), _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
