@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Of a chunk's text, in one row.
 PIECE_BYTES = 4 << 20
 #: Compressed and unpacked run bytes that one bucket's task should get.
@@ -40,7 +40,7 @@ def measure(docs: DataFrame) -> dict:
 
 
 def pack(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
-    """Rows (chunk, ids, known, lens, body): pieces of chunks as compressed bytes. bounds are about 8 bytes per 12 MB."""
+    """Rows (chunk, ids, known, lens, body): pieces of chunks as compressed bytes. bounds are about 8 bytes per 8 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,25 +64,30 @@ def pack(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """A chunk's ids, which of them are known, and its texts, in ascending id order (ties by text)."""
+    ids, known, texts = [], [], []
+    for a, k, lens, body in zip(*(table.column(c).to_pylist() for c in ("ids", "known", "lens", "body")), strict=True):
+        ids.append(np.frombuffer(a, np.int64))
+        known.append(np.frombuffer(k, bool))
+        at, body = 0, common.unsqueeze(body)
+        for n in np.frombuffer(lens, np.int64).tolist():
+            texts.append(body[at : at + n])
+            at += n
+    all_ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    all_known = np.concatenate(known) if known else np.zeros(0, bool)
+    order = sorted(range(len(texts)), key=lambda i: (all_ids[i], texts[i]))
+    return all_ids[order], all_known[order], [texts[i] for i in order]
+
+
 class Chunk:
     """A chunk's documents in ascending id order (ties by text), its words and their hashes."""
 
     def __init__(self, table: pa.Table, lower: bool = False):
         from .wordhash import word_bounds, word_hashes
 
-        ids, known, texts = [], [], []
-        for a, k, lens, body in zip(*(table.column(c).to_pylist() for c in ("ids", "known", "lens", "body")), strict=True):
-            ids.append(np.frombuffer(a, np.int64))
-            known.append(np.frombuffer(k, bool))
-            at, body = 0, common.unsqueeze(body)
-            for n in np.frombuffer(lens, np.int64).tolist():
-                texts.append(body[at : at + n])
-                at += n
-        all_ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        all_known = np.concatenate(known) if known else np.zeros(0, bool)
-        order = sorted(range(len(texts)), key=lambda i: (all_ids[i], texts[i]))
-        self.texts = [texts[i] for i in order]
-        self.ids, self.known = all_ids[order], all_known[order]
+        self.ids, self.known, self.texts = unpack(table)
+        texts = self.texts
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in self.texts], out=offsets[1:])
         data = np.frombuffer(b"".join(self.texts), np.uint8)

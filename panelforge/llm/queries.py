@@ -19,8 +19,29 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from .token_files import read_shards, write_shards
+
+    return read_shards(write_shards(common.table(spark, sf_dir, "documents"), tokenizer or common.tokenizer_file("word_bpe_49k.json")))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(common.table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from .bpe import bpe_digests
+
+    return bpe_digests(common.table(spark, sf_dir, "documents"), tokenizer or common.tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_token_files": op4_token_files,
+    "op7_media_columns": op7_media_columns,
+    "op8_bpe": op8_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
