@@ -13,6 +13,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_digests
+
+    return secret_digests(common.table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import jaccard_components
 
@@ -42,11 +48,32 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op7_media_columns": op7_media_columns,
     "op8_bpe": op8_bpe,
+    "op9_secret_scan": op9_secret_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def _secret_sql() -> str:
+    """One part per rule: matches, the pieces between them, and the starts that both give."""
+    from .secret_scan import RULES
+
+    parts = []
+    for i, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {i} AS kind, '{r.kind}' AS name, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, length(m[i]) AS n, length(g[i]) AS t, {r.least} AS least
+            FROM (SELECT doc_id, m, g, b, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g, string_split_regex(t, '{pattern}') AS b FROM d))"""
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT doc_id, kind, s, name || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS told FROM a WHERE t >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(told, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(told, ',' ORDER BY s, kind), '') AS spans
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+
+
 SQL = {
     "op1_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
@@ -68,4 +95,5 @@ r AS (SELECT DISTINCT x AS doc_id, x AS near FROM l UNION SELECT r.doc_id, l.y F
 m AS (SELECT doc_id, min(near) AS near FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.near, w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id""",
+    "op9_secret_scan": _secret_sql(),
 }
