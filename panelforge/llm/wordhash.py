@@ -11,6 +11,8 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words of letters and digits only: ASCII punctuation parts words too.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -45,11 +47,11 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document number of every word; offsets (one more than documents) part the documents."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document number of every word; offsets (one more than documents) part the documents, and bytes marked in parts the words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~SPACE[data]
+    word = ~parts[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     cuts = offsets[1:-1]
