@@ -49,6 +49,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensed(document_files(common.table(spark, sf_dir, "documents")))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import extracted
+
+    return extracted(common.table(spark, sf_dir, "pages"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_license_scan": op5_license_scan,
+    "op6_html_extraction": op6_html_extraction,
     "op7_media_columns": op7_media_columns,
     "op8_bpe": op8_bpe,
     "op9_secret_scan": op9_secret_scan,
