@@ -1,15 +1,81 @@
-"""Corpus cleaning as a chain of stages over documents."""
+"""Corpus cleaning as a chain of stages over documents.
+
+Each stage gets what its predecessor kept, written as Parquet and read again. Documents that are predicted toxic go; of
+each group of near copies (five-word shingles, similarity 0.8 or more) one stays; documents that hold a benchmark item go;
+secrets are replaced by a mark; what is left is encoded and decoded. All stages but the last return the columns of
+documents, with n_chars following the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from panelforge.llm import common
+from panelforge.llm.bpe import bpe_digests
+from panelforge.llm.decontamination import contaminated
+from panelforge.llm.ngram_jaccard import jaccard_components
+from panelforge.llm.secret_scan import redacted
+from panelforge.llm.toxicity import without_toxic
+
+#: Words of a shingle, and the least similarity in percent, of near copies.
+SHINGLE, PERCENT = 5, 80
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that are predicted toxic; the score learns from the labels of the table beside documents."""
+    return without_toxic(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id (of rows that share it, the first text)."""
+    groups = jaccard_components(docs, SHINGLE, PERCENT)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    shared = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
+    again = kept.join(shared, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy("lang", "source"))).filter("_row = 1 OR coalesce(text, '') = ''").drop("_row")
+    return kept.join(shared, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a benchmark item, edited or not."""
+    held = contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by a mark."""
+    cleaned = redacted(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("text").contains("[secret]"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document the number and digest of its token ids, and the digest of the text they decode to."""
+    return bpe_digests(docs, common.tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard", near_copies),
+    ("decontamination", decontamination),
+    ("secret_scan", secrets),
+    ("bpe", encoding),
+]
 
-STAGES: list = []
+#: The first stage learns a model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    path = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
