@@ -22,7 +22,7 @@ CHUNK_BYTES = 8 << 20
 #: Of a chunk's text, in one row.
 PIECE_BYTES = 4 << 20
 #: Compressed and unpacked run bytes that one bucket's task should get.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 LAST = np.iinfo(np.int64).max
 
 SCHEMA = "chunk int, ids binary, known binary, lens binary, body binary"

@@ -5,10 +5,11 @@
 2. A document's prefix is so long that two documents above the threshold share a prefix shingle. Shingles of frequency
    one match nothing, so only the others are kept; most documents have none in their prefix and are done.
 3. Equal shingle sets are one node. Nodes with equal prefix and size are one group, and groups meet by prefix shingles.
-4. Star pairs first: each member against its group's centre, each group against one centre for a shingle, drawn anew in
-   each round. Verified links join nodes into components.
-5. Group pairs that aren't yet wholly in one component are filtered by size, expanded into members of different
-   components and verified. So each candidate pair is verified, or its two documents are known to be connected, and
+4. Star pairs first: each member against its group's centre, each group against one centre for a shingle: the one with
+   the fewest rarer shingles (of a family of edited copies the nearest to their source), and one drawn by chance.
+   Verified links join nodes into components.
+5. Group pairs that aren't yet wholly in one component are filtered by size, by the shingle's place and by
+   bitmaps of their shingles, expanded into members of different components and verified. So each candidate pair is verified, or its two documents are known to be connected, and
    no group of copies is expanded into all its pairs.
 
 Defined cases: words are lower-cased in A-Z only; fewer than n words give one shingle, none give the empty set, which is
@@ -31,11 +32,13 @@ from .components import connected
 from .wordhash import gram_hashes, grams_within
 
 N, PERCENT = 3, 90
-#: Rounds of star pairs between groups before the rest is paired exactly.
+#: Kinds of star pairs between groups before the rest is paired exactly.
 STARS = 2
 
 RUN = "bucket int, chunk int, width int, prints binary, counts binary"
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, prefix array<long>, places array<int>, shared binary"
+SIGNATURE = "doc_id long, n_shingles long, set_key binary, prefix array<long>, places array<int>, shared binary, bits array<long>"
+#: 64-bit parts of the bitmap that stands for a set's shared shingles.
+PARTS = 8
 
 
 def shingle_sets(chunk: chunks.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +144,14 @@ def _signatures(packed: DataFrame, counted: DataFrame, buckets: int, n: int, per
             end = lo + size - (percent * size + 99) // 100 + 1 if size else lo
             start = lo + int(np.searchsorted(ranked_level[lo:end], 2))
             if start >= end:
-                rows.append((id_, size, None, None, None, None))
+                rows.append((id_, size, None, None, None, None, None))
                 continue
             own = values[lo:hi]
             key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-            rows.append((id_, size, key, ranked[start:end].view(np.int64).tolist(), list(range(start - lo, end - lo)), own[level[lo:hi] >= 2].tobytes()))
+            shared = own[level[lo:hi] >= 2]
+            bits = np.zeros(64 * PARTS, bool)
+            bits[(shared % np.uint64(64 * PARTS)).astype(np.int64)] = True
+            rows.append((id_, size, key, ranked[start:end].view(np.int64).tolist(), list(range(start - lo, end - lo)), shared.tobytes(), np.packbits(bits).view(np.int64).tolist()))
         return common.arrow_table(rows, SIGNATURE)
 
     return packed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, SIGNATURE)
@@ -164,13 +170,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met"))).select("a", "b")
 
 
-def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
-    return (100 * x >= percent * y) & (100 * y >= percent * x)
+def _may_link(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
+    """Whether sizes, and places of a shared shingle, allow the threshold if no rarer shingle is shared.
 
+    What is left from the shingle on bounds the overlap then. Two documents that link pass at their first shared shingle.
+    """
+    sizes = (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
+    return sizes & ((100 + percent) * F.least(nx - px, ny - py) >= percent * (nx + ny))
 
-def _places_fit(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
-    """At the first shingle two nodes share, what is left after it must reach the overlap that the threshold needs."""
-    return (100 + percent) * (1 + F.least(nx - px, ny - py) - 1) >= percent * (nx + ny)
+
+def _maps_fit(percent: int, all_: str = "all", any_: str = "any") -> Column:
+    """Whether the bitmaps of x and y, groups or members, allow the threshold.
+
+    A bit that all members of one group have and no member of the other stands for a shingle that isn't shared.
+    """
+
+    def left(a: str, b: str) -> Column:
+        lost = sum((F.bit_count(F.col(f"{all_}{i}{a}").bitwiseAND(F.bitwise_not(F.col(f"{any_}{i}{b}")))) for i in range(PARTS)), F.lit(0))
+        return F.col(f"held{a}") - lost
+
+    return (100 + percent) * F.least(left("x", "y"), left("y", "x")) >= percent * (F.col("nx") + F.col("ny"))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
@@ -185,36 +204,41 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
     alone = signs.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rest = signs.filter("set_key IS NOT NULL")
 
-    nodes = rest.groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"), F.first("shared").alias("shared"))
+    nodes = rest.groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"), F.first("shared").alias("shared"), F.first("bits").alias("bits"))
     nodes = nodes.withColumn("kind", F.sha2(F.concat_ws(",", F.col("n"), F.concat_ws(",", F.transform("prefix", lambda t: t.cast("string")))), 256))
     nodes = common.stored(nodes, "shingle-nodes")
-    groups = nodes.groupBy("kind").agg(F.min("key").alias("centre"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"))
-    members = nodes.select("key", "low", "kind").join(groups.select("kind", "centre"), "kind")
-    members = common.stored(members.select("key", "low", "centre"), "shingle-members")
+    groups = nodes.groupBy("kind").agg(F.min("key").alias("centre"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"), F.max(F.octet_length("shared") / 8).alias("held"), *(f(F.col("bits")[i]).alias(f"{c}{i}") for c, f in (("all", F.bit_and), ("any", F.bit_or)) for i in range(PARTS)))
+    groups = common.stored(groups, "shingle-groups")
+    bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(PARTS)]
+    members = nodes.select("key", "low", "kind", "n", (F.octet_length("shared") / 8).alias("held"), *bits).join(groups.select("kind", "centre"), "kind")
+    members = common.stored(members.drop("kind"), "shingle-members")
     posts = common.stored(groups.selectExpr("centre AS g", "n", "inline(arrays_zip(prefix, places)) AS (token, place)"), "shingle-posts")
 
     pairs = members.filter("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
-    for r in range(stars):
-        hub = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("g"), F.lit(r)), F.col("g"))).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("token", F.col("hub.g").alias("hub"))
-        met = posts.join(hub, "token").filter("g <> hub").select(F.least("hub", "g").alias("a"), F.greatest("hub", "g").alias("b"))
-        pairs = pairs.union(met)
+    for order in (["place", "chance"], ["chance"])[:stars]:
+        drawn = posts.withColumn("chance", F.xxhash64("g", F.lit(len(order))))
+        hub = drawn.groupBy("token").agg(F.min(F.struct(F.struct(*order).alias("rank"), "g", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        hub = hub.select("token", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.place").alias("hp"))
+        met = posts.join(hub, "token").filter((F.col("g") != F.col("h")) & _may_link(F.col("n"), F.col("place"), F.col("hn"), F.col("hp"), percent))
+        pairs = pairs.union(met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")))
     links = common.stored(_verified(pairs.distinct(), nodes, percent), "shingle-links")
     comps = connected(links)
 
-    placed = members.join(comps, "key", "left").select("key", "low", "centre", F.coalesce("comp", "key").alias("comp"))
-    placed = common.stored(placed, "shingle-placed")
+    placed = common.stored(members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "shingle-placed")
     span = placed.groupBy(F.col("centre").alias("g")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     posted = posts.join(span, "g")
     mixed = posted.groupBy("token").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1")).filter("t0 <> t1").select("token")
     posted = common.stored(posted.join(mixed, "token", "left_semi"), "shingle-mixed")
-    kinds = posted.select("token", "c0", "c1").distinct()
-    x, y = (kinds.select("token", F.col("c0").alias(f"{s}0"), F.col("c1").alias(f"{s}1")) for s in "xy")
-    met = x.join(y, "token").filter("(x0, x1) <= (y0, y1) AND NOT (x0 = x1 AND y0 = y1 AND x0 = y0)")
-    p, q = (posted.select("token", F.col("c0").alias(f"{s}0"), F.col("c1").alias(f"{s}1"), F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}")) for s in "xy")
-    met = met.join(p, ["token", "x0", "x1"]).join(q, ["token", "y0", "y1"]).filter("gx <= gy OR NOT (x0 = y0 AND x1 = y1)").filter(_sizes_fit(F.col("nx"), F.col("ny"), percent))
-    met = met.groupBy("gx", "gy").agg(F.min(F.struct("px", "py", "nx", "ny")).alias("at")).filter((F.col("gx") == F.col("gy")) | _places_fit(F.col("at.nx"), F.col("at.px"), F.col("at.ny"), F.col("at.py"), percent)).select("gx", "gy")
-    a, b = (placed.select(F.col("centre").alias(f"g{s}"), F.col("key").alias(k), F.col("comp").alias(f"c{s}")) for s, k in (("x", "a"), ("y", "b")))
-    wide = met.join(a, "gx").join(b, "gy").filter("cx <> cy AND (gx <> gy OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    maps = [f"{c}{i}" for c in ("all", "any") for i in range(PARTS)]
+    posted = posted.join(groups.select(F.col("centre").alias("g"), "held", *maps), "g")
+    p, q = (posted.select("token", *(F.col(c).alias(c + s) for c in ("g", "n", "place", "c0", "c1", "held", *maps))) for s in "xy")
+    apart = (F.col("gx") < F.col("gy")) & ((F.col("c0x") != F.col("c0y")) | (F.col("c1x") != F.col("c1y")) | (F.col("c0x") != F.col("c1x")))
+    within = (F.col("gx") == F.col("gy")) & (F.col("c0x") != F.col("c1x"))
+    met = p.join(q, "token").filter((apart & _may_link(F.col("nx"), F.col("placex"), F.col("ny"), F.col("placey"), percent) & _maps_fit(percent)) | within).select("gx", "gy").distinct()
+    own = ["n", "held", *(f"bits{i}" for i in range(PARTS))]
+    a, b = (placed.select(F.col("centre").alias(f"g{s}"), F.col("key").alias(k), F.col("comp").alias(f"c{s}"), *(F.col(c).alias(c + s) for c in own)) for s, k in (("x", "a"), ("y", "b")))
+    wide = met.join(a, "gx").join(b, "gy").filter((F.col("cx") != F.col("cy")) & ((F.col("gx") != F.col("gy")) | (F.col("a") < F.col("b"))) & _maps_fit(percent, "bits", "bits"))
+    wide = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = common.stored(_verified(wide, nodes, percent), "shingle-links")
     comps = connected(links.union(more)) if not more.isEmpty() else comps
 
