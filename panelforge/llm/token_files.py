@@ -15,9 +15,11 @@ rows without doc_id come last; equal ids are ordered by text; other columns are
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunks, common
+from .bpe import byte_letters
 
 MAGIC = b"PFR1"
 BLOCK = 1024
 PERCENTILE = 98
 END = 1
 #: Distinct words a worker remembers.
-WORDS = 600_000
+WORDS = 400_000
+#: Shards whose starts (12 bytes each) are broadcast, at most.
+BROADCAST_ROWS = 2_000_000
 #: Blocks packed at a time.
 BATCH = 256
 
@@ -39,44 +44,111 @@ FILES = "chunk int, n_ids long, ids binary, known binary, file binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: Marks after an ASCII letter at a word's end: the tokenizer parts them from the letters.
+TAIL = re.compile(rb"(?<=[A-Za-z])([!-/:-@\[-`{-~]+)(?=[\x09-\x0d ]|$)")
+
+
+def units(text: bytes) -> list[bytes]:
+    """Parts of a text that are encoded alone: words without the marks at their end, the marks, in small letters.
+
+    Texts with a special token's beginning are only split, those with combining marks (U+0300 on) aren't lower-cased here:
+    a few of these marks join with small letters alone.
+    """
+    if b"<|" in text:
+        return text.split()
+    text = TAIL.sub(rb" \1", text)
+    return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+
+
+#: Words that the normaliser leaves alone and the splitter leaves whole: the model alone gives their ids.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: The letters that stand for the bytes that aren't printable Latin-1.
+BYTE_LETTERS = {b: c for b, c in enumerate(byte_letters()) if ord(c) != b}
+
+
+class Entries(dict):
+    """Numbers of words; a word that is asked for the first time gets the next one and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
-    """Ids of texts under a tokenizer whose normaliser and splitter never join what ASCII white space parts.
+    """Ids of texts under a tokenizer that ignores letter case and whose splitter parts letters from marks.
 
-    Each distinct word is encoded by the library once; a text is the concatenation of its words' ids.
+    Each distinct unit is encoded by the library once: plain words by its model, others whole, many in one text with PART
+    between them. A text is the concatenation of its units' ids.
     """
 
+    #: A word of its own that no other word has inside (those that have are encoded alone).
+    PART = "\x01"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.part = self.ids(self.PART)
         self.clear()
 
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
-        self.entry: dict[bytes, int] = {}
+        self.entry = Entries()
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = [0]
+        self.bounds = np.zeros(1, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words, in the order of their numbers."""
+        found: list[list[int]] = [[]] * len(words)
+        others = []
+        tokenize = self.model.tokenize
+        for i, w in enumerate(words):
+            if w.isalpha() and w.islower():  # of bytes: ASCII letters only
+                found[i] = [t.id for t in tokenize(w.decode())]
+                continue
+            text = w.decode("utf-8", "replace")
+            if LETTERS.fullmatch(text):
+                found[i] = [t.id for t in tokenize(w.decode("latin-1").translate(BYTE_LETTERS))]
+            elif self.PART in text or len(self.part) != 1:
+                found[i] = self.ids(text)
+            else:
+                others.append((i, text))
+        for at in range(0, len(others), 1000):
+            some = others[at : at + 1000]
+            ids = np.array(self.ids(f" {self.PART} ".join([t for _, t in some])), np.uint32)
+            for (i, _), part in zip(some, np.split(ids, np.flatnonzero(ids == self.part[0])), strict=True):
+                found[i] = part[part != self.part[0]].tolist()
+        if found:
+            parts = [np.fromiter(chain.from_iterable(found), np.uint32)]
+            sizes = [np.fromiter(map(len, found), np.int64, len(found))]
+            ends = self.bounds[-1] + np.cumsum(np.concatenate(sizes))
+            while ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            self.flat[self.bounds[-1] : ends[-1]] = np.concatenate(parts)
+            self.bounds = np.concatenate([self.bounds, ends])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with END after each text, and where each text's ids end."""
         if len(self.entry) > WORDS:
             self.clear()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.entry})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                lo, hi = self.ends[-1], self.ends[-1] + len(e.ids)
-                while hi > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-                self.flat[lo:hi] = e.ids
-                self.entry[w] = len(self.ends) - 1
-                self.ends.append(hi)
-        bounds, get = np.array(self.ends, np.int64), self.entry.__getitem__
-        starts, sizes = bounds[:-1], np.diff(bounds)
+        get, entries = self.entry.__getitem__, []
+        for t in texts:
+            words = units(t)
+            entries.append(np.fromiter(map(get, words), np.int64, len(words)))
+        self.learn(self.entry.new)
+        self.entry.new = []
+        starts, sizes = self.bounds[:-1], np.diff(self.bounds)
         out, ends, total = [], [], 0
-        for ws in words:
-            e = np.fromiter(map(get, ws), np.int64, len(ws))
+        for e in entries:
             n = sizes[e]
             to = np.cumsum(n)
             m = int(to[-1]) if len(to) else 0
@@ -177,8 +249,8 @@ def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
             encoder = _encoders[tokenizer] = WordEncoder(tokenizer)
         ids, known, texts = chunks.unpack(table)
         out, ends, total = [], [], 0
-        for at in range(0, len(texts), 500):
-            part, to = encoder.encode(texts[at : at + 500])
+        for at in range(0, len(texts), 250):
+            part, to = encoder.encode(texts[at : at + 250])
             out.append(part)
             ends.append(to + total)
             total += len(part)
@@ -190,7 +262,10 @@ def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
 def read_shards(files: DataFrame) -> DataFrame:
     """Per document: where its ids start in the whole sequence, how many they are, and their checksum."""
     sizes = files.select("chunk", "n_ids").withColumn("before", F.sum("n_ids").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = files.select("chunk", "ids", "known", "file").join(sizes.select("chunk", F.coalesce("before", F.lit(0)).alias("before")), "chunk")
+    starts = common.stored(sizes.select("chunk", F.coalesce("before", F.lit(0)).alias("before")), "token-starts")
+    if starts.count() <= BROADCAST_ROWS:  # else the files are joined to their starts by a shuffle
+        starts = F.broadcast(starts)
+    placed = files.select("chunk", "ids", "known", "file").join(starts, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
