@@ -159,7 +159,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
             row[PATH_DIMS + k] += v
         seen = row[PATH_DIMS : PATH_DIMS + WORD_DIMS]
         seen *= 0.3 / max(1.0, float(np.sqrt(seen @ seen)))
-        row[-SHAPES:] = np.log1p(len(words)) / 4, b.linked / max(1, len(b.text)), min(1.0, sum(b.text.count(c) for c in ".,;") / len(words)), i / len(blocks), 1.0 - i / len(blocks), 1.0
+        row[-SHAPES:] = min(1.15, np.log1p(len(words)) / 4), b.linked / max(1, len(b.text)), min(1.0, sum(b.text.count(c) for c in ".,;") / len(words)), i / len(blocks), 1.0 - i / len(blocks), 1.0
     return out
 
 
