@@ -89,9 +89,11 @@ def read_png(data: bytes) -> np.ndarray:
         raise ValueError("not a PNG file")
     at, size, stream, ended = 8, None, [], False
     while at < len(data) and not ended:
+        if at + 12 > len(data):
+            raise ValueError("the file is cut off")
         n, kind = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + n]
-        if len(body) != n or zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
+        if at + 12 + n > len(data) or zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
             raise ValueError(f"damaged chunk {kind!r}")
         if kind == b"IHDR":
             *size, depth, colour, _, _, lace = struct.unpack(">IIBBBBB", body)
