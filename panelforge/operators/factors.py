@@ -174,7 +174,8 @@ def top_quantile(rows: DataFrame, factor: str, share: float) -> DataFrame:
     held = rows.filter(F.col(factor).isNotNull())
     n = F.count(F.lit(1)).over(Window.partitionBy("date"))
     place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(factor), "asset"))
-    return held.withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(1), F.rint(n * share))).drop("place")
+    chosen = held.withColumn("place", place).withColumn("size", F.greatest(F.lit(1.0), F.rint(n * share)))
+    return chosen.filter("place <= size").drop("place", "size")
 
 
 def selection_turnover(chosen: DataFrame) -> DataFrame:

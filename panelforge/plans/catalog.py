@@ -39,7 +39,8 @@ class Base:
     """The panel, folds, books and paths that most queries share."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, panel: str = "brand", look: int = LOOK, step: int = STEP):
-        self.returns = panels.panel(spark, sf_dir, panel)
+        # one row per period and asset however large the trades' table is; every fold, book and path reads it again
+        self.returns = panels.panel(spark, sf_dir, panel).persist()
         self.folds = folds.fold_table(self.returns, look, step)
         self.train = folds.fold_rows(self.returns, self.folds, "train")
         self.test = folds.fold_rows(self.returns, self.folds, "test")
@@ -64,9 +65,9 @@ class Base:
 # --- panels and folds --------------------------------------------------------------------------------------------
 
 
-@query("panel_returns", sql(f"SELECT date, asset, {r('price', 'ret')} FROM mv", "nation"))
+@query("panel_returns", sql(f"SELECT date, asset, {r('ln(price) AS log_price', 'ret')} FROM mv", "nation"))
 def _(spark, d):
-    return panels.simple_returns(panels.PanelSpec("nation").prices(spark, d)).select("date", "asset", "price", "ret")
+    return panels.simple_returns(panels.PanelSpec("nation").prices(spark, d)).select("date", "asset", F.ln("price").alias("log_price"), "ret")
 
 
 for _panel in ("brand", "flag", "region", "priority"):
@@ -441,7 +442,7 @@ def _(spark, d):
     return scoring.rank_pct(e, "median_cvar", ["all"], False, "cvar_pct").select("label", "annual_pct", "cvar_pct")
 
 
-@query("rank_pct_midpoint", sql(f"SELECT label, {r('1 - (row_number() OVER (ORDER BY median_annual DESC) - 0.5) / count(*) OVER () AS pct')} FROM fe", **FIELD))
+@query("rank_pct_midpoint", sql(f"SELECT label, {r('1 - (5 + 0.5 - (pct * 4 + 1)) / 5 AS pct')} FROM pa", **FIELD, **PCT))
 def _(spark, d):
     return scoring.rank_pct(field(spark, d).withColumn("all", F.lit(1)), "median_annual", ["all"], True, "pct", midpoint=True).select("label", "pct")
 
@@ -595,15 +596,15 @@ def bars_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 BARS = {
-    "b0": "SELECT p_brand AS asset, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, (l_shipdate, l_orderkey, l_linenumber) AS at, l_extendedprice / l_quantity AS p, l_quantity, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey",
-    "b1": "SELECT asset, date, arg_min(p, at) AS open, max(p) AS high, min(p) AS low, arg_max(p, at) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount FROM b0 GROUP BY asset, date",
+    "b0": "SELECT p_brand AS asset, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, (l_shipdate, l_orderkey, l_linenumber) AS tk, l_extendedprice / l_quantity AS p, l_quantity, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "b1": "SELECT asset, date, arg_min(p, tk) AS open, max(p) AS high, min(p) AS low, arg_max(p, tk) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount FROM b0 GROUP BY asset, date",
     "b2": "SELECT *, amount / volume AS vwap, row_number() OVER w - 1 AS k, close / lag(close) OVER w - 1 AS ret, high - lag(high) OVER w AS dh, volume - lag(volume) OVER w AS dv, (high - low) / (high + low) AS rng FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY date)",
 }
 
 
-@query("ohlcv_bars", sql(f"SELECT asset, date, k, {r('open', 'high', 'low', 'close', 'volume', 'amount', 'vwap', 'ret')} FROM b2", **BARS))
+@query("ohlcv_bars", sql(f"SELECT asset, date, k, {r('ln(open) AS open', 'ln(high) AS high', 'ln(low) AS low', 'ln(close) AS close', 'volume', 'amount', 'ln(vwap) AS vwap', 'ret')} FROM b2", **BARS))
 def _(spark, d):
-    return bars_of(spark, d).select("asset", "date", "k", "open", "high", "low", "close", "volume", "amount", "vwap", "ret")
+    return bars_of(spark, d).select("asset", "date", "k", *(F.ln(c).alias(c) for c in ("open", "high", "low", "close")), "volume", "amount", F.ln("vwap").alias("vwap"), "ret")
 
 
 BAR_FACTORS = [
@@ -684,9 +685,9 @@ def _(spark, d):
     return panels.panel(spark, d, "brand").join(members, "asset", "left_semi").select("row_idx", "asset", "ret")
 
 
-@query("adjusted_close", sql(f"SELECT asset, date, {r('close * (1 - 0.01 * (k % 7)) AS price')} FROM b2", **BARS))
+@query("adjusted_close", sql(f"SELECT asset, date, {r('ln(close * (1 - 0.01 * (k % 7))) AS log_price')} FROM b2", **BARS))
 def _(spark, d):
-    return bars_of(spark, d).select("asset", "date", (F.col("close") * (1 - 0.01 * (F.col("k") % 7))).alias("price"))
+    return bars_of(spark, d).select("asset", "date", F.ln(F.col("close") * (1 - 0.01 * (F.col("k") % 7))).alias("log_price"))
 
 
 @query("dedup_keep_last", sql("SELECT user_id, day, event_id, event_type FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_id, event_type, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"))

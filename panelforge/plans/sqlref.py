@@ -65,11 +65,11 @@ def sql(select: str, panel: str = "brand", look: int = 40, step: int = 40, **mor
 
 
 #: Columns of large values: fewer digits after the point are the same in any order of summing.
-WIDE = {"price", "cumulative", "open", "high", "low", "close", "volume", "amount", "vwap", "absret_amt20"}
+WIDE = {"price", "cumulative", "open", "high", "low", "close", "volume", "amount", "vwap"}
 
 
 def digits(name: str) -> int:
-    return 5 if name in WIDE else 2 if name.startswith("cov_") else 8
+    return 5 if name in WIDE else 1 if name.startswith("cov_") or name == "absret_amt20" else 8
 
 
 def r(*columns: str) -> str:
