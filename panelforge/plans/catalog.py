@@ -42,8 +42,8 @@ class Base:
         # one row per period and asset however large the trades' table is; every fold, book and path reads it again
         self.returns = panels.panel(spark, sf_dir, panel).persist()
         self.folds = folds.fold_table(self.returns, look, step)
-        self.train = folds.fold_rows(self.returns, self.folds, "train")
-        self.test = folds.fold_rows(self.returns, self.folds, "test")
+        self.train = folds.fold_rows(self.returns, self.folds, "train").persist()
+        self.test = folds.fold_rows(self.returns, self.folds, "test").persist()
 
     def ivp(self) -> DataFrame:
         return books.inverse_volatility(self.train)
@@ -405,7 +405,8 @@ def field(spark: SparkSession, d: str) -> DataFrame:
     test = b.test.join(F.broadcast(spark.createDataFrame([(n,) for n in made], "label string"))).withColumn("fold_id", F.concat_ws("|", "label", "fold_id"))
     path, _ = backtest.rebalanced(backtest.holdings(test, every))
     folds_ = metrics.fold_metrics(path.withColumnRenamed("gross", "ret"), ["fold_id"]).withColumn("label", F.substring_index("fold_id", "|", 1))
-    return folds_.groupBy("label").agg(F.median("annual_mean").alias("median_annual"), F.median("sharpe").alias("median_sharpe"), F.median("cvar95").alias("median_cvar"), F.lit(0.0).alias("fail"))
+    entries = folds_.groupBy("label").agg(F.median("annual_mean").alias("median_annual"), F.median("sharpe").alias("median_sharpe"), F.median("cvar95").alias("median_cvar"), F.lit(0.0).alias("fail"))
+    return entries.persist()  # one row per book
 
 
 FIELD = {

@@ -69,7 +69,7 @@ WIDE = {"price", "cumulative", "open", "high", "low", "close", "volume", "amount
 
 
 def digits(name: str) -> int:
-    return 5 if name in WIDE else 1 if name.startswith("cov_") or name == "absret_amt20" else 8
+    return 5 if name in WIDE else -1 if name.startswith("cov_") or name == "absret_amt20" else 8
 
 
 def r(*columns: str) -> str:
