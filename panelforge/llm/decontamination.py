@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased in A-Z. The benchmark is taken in blocks of BLOCK_BYTES of text; a
-block's grams go to every task (that is the bound on what is broadcast), and further blocks are further passes. A first
-pass counts in how many documents each gram of an item occurs; an item's seeds are the rarest SHARE of its grams. A second
-pass finds seeds in documents, gives each a window of the document where the item would lie, merges windows that meet,
-and aligns item and window word by word. A pair is reported if its best window's score reaches LEAST of the item's own.
+block's grams go to every task (that is the bound on what is broadcast), and further blocks are further passes. Every gram
+of an item is a seed, since what an edit leaves of a copy may be the item's commonest grams. A pass finds seeds in documents,
+gives each a window of the document where the item would lie, merges windows that meet, and aligns item and window word by
+word. A pair is reported if its best window's score reaches LEAST of the item's own; it needs one run of N common words.
 
 A window can hold as many matches as it shares words with the item, so windows that share too few are left out before
-alignment; that loses nothing. Nothing is shuffled but counts, so a passage in a third of all documents is no hot key.
+alignment; that loses nothing. Nothing is shuffled but pairs, so a passage in a third of all documents is no hot key.
 
 Defined cases: a null text or an item without words matches nothing; items of fewer than N words have their whole text as
 one gram; rows with equal doc_id are judged each and reported once with their best score; rows without doc_id are judged
@@ -28,7 +28,6 @@ from . import common
 from .wordhash import MARKS, gram_hashes, grams_within, mix, word_bounds, word_hashes
 
 N = 3
-SHARE = 0.7
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 BLOCK_BYTES = 4 << 20
@@ -68,15 +67,6 @@ class Items:
         order = np.argsort(g, kind="stable")
         return cls(ids, words, g[order], np.concatenate(item)[order] if item else np.zeros(0, np.int64), np.concatenate(offset)[order] if offset else np.zeros(0, np.int64))
 
-    def seeds(self, frequency: dict[int, int], share: float) -> Items:
-        """Only the rarest share of each item's grams, one of them at least."""
-        count = np.array([frequency.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
-        order = np.lexsort((self.grams, count, self.item))
-        sizes = np.bincount(self.item, minlength=len(self.ids))
-        place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        kept = np.sort(order[place < np.ceil(np.maximum(1, share * sizes))[self.item[order]]])
-        return Items(self.ids, self.words, self.grams[kept], self.item[kept], self.offset[kept])
-
 
 class Finder:
     """Where the words of documents hold one of a sorted set of grams."""
@@ -156,25 +146,6 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int,
     return out
 
 
-def _count(docs: DataFrame, items: Items, n: int) -> dict[int, int]:
-    """In how many documents each gram occurs. At most one entry per gram of the block comes to the driver."""
-    lengths = [len(w) for w in items.words]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, total = Finder(items.grams, lengths, n), np.zeros(0, np.int64)
-        total = np.zeros(len(finder.grams), np.int64)
-        for batch in batches:
-            words, doc = _words(batch)
-            at, met = finder.find(words, doc)
-            pairs = np.unique(np.stack([doc[at], np.searchsorted(finder.grams, met)]), axis=1)
-            total += np.bincount(pairs[1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(finder.grams[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-    counted = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram: r.n for r in counted.collect()}
-
-
 def _pairs(docs: DataFrame, items: Items, n: int, least: float) -> DataFrame:
     lengths = [len(w) for w in items.words]
 
@@ -233,14 +204,14 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int
     yield ids, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (doc_id, item_id) with the alignment's score (1: the whole item, unchanged) and where it lies, in words."""
     common.session_setup(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     out = None
     for ids, texts in blocks_of(benchmark, block_bytes):
         items = Items.of(ids, texts, n)
-        pairs = _pairs(docs, items.seeds(_count(docs, items, n), share), n, least)
+        pairs = _pairs(docs, items, n, least)
         out = pairs if out is None else out.unionByName(pairs)
     best = F.max(F.struct("score", "first_word", "last_word", "matched_words")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("best.score", 6).alias("score"), "best.first_word", "best.last_word", "best.matched_words")

@@ -117,6 +117,23 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in split.collect()} == {(0, 1), (1, 1)}
 
 
+def test_decontamination_finds_heavily_edited_copies(spark):
+    rng = random.Random(11)
+    items = [[f"w{rng.randint(0, 2000)}" for _ in range(40)] for _ in range(24)]
+    texts = []
+    for k, item in enumerate(items):  # one copy each: what an edit broke occurs nowhere else
+        gone = set(range(3, 40, 4)) if k % 4 == 3 else set(rng.sample(range(40), 40 * (20, 25, 30)[k % 4] // 100))
+        texts.append([f"x{rng.randint(0, 9999)}" if i in gone else w for i, w in enumerate(item)])
+    texts = [[f"n{rng.randint(0, 9999)}" for _ in range(15)] + t + [f"n{rng.randint(0, 9999)}" for _ in range(9)] for t in texts]
+    hashed = [np.array([zlib.crc32(w.encode()) for w in t], np.uint64) for t in (*texts, *items)]
+    every = [(d, i) for d in range(len(texts)) for i in range(len(items))]
+    scores = decontamination.align([hashed[len(texts) + i] for _, i in every], [hashed[d] for d, _ in every])
+    want = {p: round(s[0] / 80, 6) for p, s in zip(every, scores, strict=True) if s[0] >= 40}
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(table(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert len(want) >= 20 and got == want
+
+
 def brute_align(a, b):
     best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
