@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF cosine of passages to licence templates, then inheritance along directories.
 
 A passage is a line that holds a word of the licence trade. Its words' TF-IDF vector is compared with each template's,
-all within the row, in DataFrame functions. A file's own licence is that of its best passage at or above LEAST. A file is
+all within the row, in DataFrame functions. A file's own licence is that of its best passage at or above LEAST. Where no
+line reaches it, the file is read across lines: an SPDX identifier, a licence's title at its head, or the best window of a
+template's length, laid over the text's words so that a trade word meets one of the template's. A file is
 a licence file if its name says so, or if its best passage makes up FILE_SHARE of its words; a directory's licence is that
 of its licence file (the first by path, if there are several). Files without their own take the licence of the nearest
 ancestor directory that has one: their directories are exploded without texts and joined to the licensed ones.
@@ -48,6 +50,27 @@ TEMPLATES = (
 #: A passage holds one of these.
 TRADE = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|spdx"
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
+#: Words of the trade by themselves; where windows are laid.
+ANCHOR = r"licen[cs]e|copyright|permission|redistribut|^domain$"
+#: How whole licence texts are headed, as words.
+TITLES = (
+    ("Apache-2.0", "apache license version 2 0"),
+    ("MIT", "mit license copyright"),
+    ("BSD-3-Clause", "bsd 3 clause license"),
+    ("GPL-3.0", "gnu general public license version 3"),
+    ("GPL-2.0", "gnu general public license version 2"),
+    ("LGPL-3.0", "gnu lesser general public license version 3"),
+    ("AGPL-3.0", "gnu affero general public license version 3"),
+    ("MPL-2.0", "mozilla public license version 2 0"),
+    ("ISC", "isc license copyright"),
+    ("CC-BY-4.0", "attribution 4 0 international"),
+    ("CC-BY-SA-4.0", "attribution sharealike 4 0 international"),
+    ("CC-BY-NC-4.0", "attribution noncommercial 4 0 international"),
+    ("CC0-1.0", "cc0 1 0 universal"),
+)
+#: Titles that hold no word of the trade.
+HEADS = r"(?i)^\W*(creative commons\W+)?(attribution|cc0)\b"
+SPDX = r"(?i)spdx-license-identifier:([^\n]*)"
 LEAST = 0.7
 FILE_SHARE = 0.25
 WORD = r"[a-z0-9]+"
@@ -87,11 +110,67 @@ def best_passage(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(TRADE)), F.array_max(F.transform(passages, judged)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _first(name: str) -> int:
+    return next(i for i, (n, _) in enumerate(TEMPLATES) if n == name)
+
+
+def _identified(text: Column) -> Column:
+    """(1, -template, words) of the first SPDX identifier that has a template, else null."""
+    order = _literal_map({n.lower(): -_first(n) for n in dict(TEMPLATES)})
+    said = F.regexp_extract_all(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), " ")), F.lit(r"[a-z0-9.+-]+"), F.lit(0))
+    known = F.array_compact(F.transform(said, lambda w: order[F.regexp_replace(w, r"(-only|-or-later|\+)$", "")]))
+    return F.when(F.size(known) > 0, F.struct(F.lit(1.0).alias("score"), F.element_at(known, 1).alias("order"), F.lit(4).alias("words")))
+
+
+def _titled(words: Column) -> Column:
+    """(1, -template, words) of the title that the words begin with, else null."""
+    head = F.regexp_replace(F.concat(F.array_join(F.slice(words, 1, 12), " "), F.lit(" ")), "^(the |creative commons )", "")
+    return F.coalesce(*(F.when(F.startswith(head, F.lit(t + " ")), F.struct(F.lit(1.0).alias("score"), F.lit(-_first(n)).alias("order"), F.lit(len(t.split())).alias("words"))) for n, t in TITLES))
+
+
+def _windowed(words: Column) -> Column:
+    """(score, -template, words) of the best window, null without trade words."""
+    vectors, idf, other = template_vectors()
+    weight, templates = _literal_map(idf), F.array(*map(_literal_map, vectors))
+    parts = [re.findall(WORD, t.lower()) for _, t in TEMPLATES]
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(o).alias("o"), F.lit(len(ws)).alias("n")) for i, ws in enumerate(parts) for o, w in enumerate(ws) if re.search(ANCHOR, w)))
+
+    def judged(window: Column, i: Column) -> Column:
+        def score(terms: Column) -> Column:
+            vector = F.element_at(templates, i + 1)
+            norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["v"] * t["v"]))
+            return F.round(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["v"] * F.coalesce(vector[t["w"]], F.lit(0.0))) / norm, 6)
+
+        terms = F.transform(F.array_distinct(window), lambda w: F.struct(w.alias("w"), (F.size(F.filter(window, lambda x: x == w)) * F.coalesce(weight[w], F.lit(other))).alias("v")))
+        return F.struct(_let(terms, score).alias("score"), (-i).alias("order"), F.size(window).alias("words"))
+
+    def over(at: Column) -> Column:
+        return F.array_max(F.transform(places, lambda p: _let(F.slice(words, F.greatest(F.lit(1), at - p["o"]), p["n"]), lambda window: judged(window, p["i"]))))
+
+    anchors = F.filter(F.transform(words, lambda w, k: F.when(F.rlike(w, F.lit(ANCHOR)), k + 1)), lambda k: k.isNotNull())
+    return F.array_max(F.transform(anchors, over))
+
+
+def beyond_lines(text: Column) -> Column:
+    """(score, -template, words) of what a text says across lines, null if nothing."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.coalesce(_identified(text), _let(words, lambda ws: F.coalesce(_titled(ws), _windowed(ws))))
+
+
 def licensed(files: DataFrame) -> DataFrame:
     """Rows (doc_id, path, license, how, score, license_dir) for files (doc_id, path, text)."""
     text = common.text_of()
     names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
-    judged = files.select("doc_id", "path", best_passage(text).alias("best"), F.when(F.rlike(text, F.lit(TRADE)), F.size(F.split(F.trim(text), r"\s+"))).alias("words"))
+    size = F.when(F.rlike(text, F.lit(TRADE)), F.size(F.split(F.trim(text), r"\s+")))
+    judged = files.select("doc_id", "path", text.alias("text"), best_passage(text).alias("line"), size.alias("words"))
+    wider = F.rlike("text", F.lit(TRADE)) | F.rlike("text", F.lit(HEADS))
+    best = F.when(F.col("line.score") >= LEAST, F.col("line")).when(wider, beyond_lines(F.col("text")))
+    judged = judged.select("doc_id", "path", best.alias("best"), "words")
     own = F.col("best.score") >= LEAST
     judged = judged.select(
         "doc_id",

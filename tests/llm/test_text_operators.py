@@ -260,6 +260,26 @@ def test_licences(spark):
     assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a/b"), 3: (None, "none", None), 4: ("Apache-2.0", "own", None), 5: (None, "none", None), 6: ("MIT", "inherited", "a/b")}
 
 
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+EXPAT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
+
+
+def test_licences_beyond_one_line(spark):
+    prose = "many other words of no weight that stand about here and there in a long line of prose " * 2
+    texts = {
+        "Apache-2.0": [APACHE, "# " + APACHE.replace(" the ", " the\n# "), "# SPDX-License-Identifier: Apache-2.0\ncode", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", prose + "Licensed under the Apache License, Version 2.0. " + prose],
+        "MIT": [EXPAT, "// SPDX-License-Identifier: MIT", "/* SPDX-License-Identifier: (Foo-1.0 OR MIT) */"],
+        "BSD-3-Clause": [" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"],
+        "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007", "# SPDX-License-Identifier: GPL-3.0-or-later"],
+        "CC-BY-4.0": ["Attribution 4.0 International\n\nBy exercising the rights"],
+        None: [prose, "the licence of the driver was taken away by the court " + prose, "SPDX-License-Identifier: Foo-1.0", "Attribution of these paintings is uncertain"],
+    }
+    want = dict(enumerate(n for n, ts in texts.items() for _ in ts))
+    files = [(i, f"d{i}/x", t) for i, t in enumerate(t for ts in texts.values() for t in ts)]
+    got = {r.doc_id: r.license for r in license_scan.licensed(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return html_blocks.train()
