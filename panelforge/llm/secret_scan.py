@@ -47,6 +47,13 @@ RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
 )
+#: What follows a private key's header, to its end line or, without one, to the end of its base64 lines.
+KEY_BODY = (
+    r"(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:(?:\\[nr]|\s)+[A-Za-z-]+: [^\r\n]*)*(?:(?:(?:\\[nr]|\s)+[A-Za-z0-9+/]{20,}={0,2})+(?:[\r\n]+[A-Za-z0-9+/]+={0,2}(?=\s*(?:[\r\n]|$)))?)?)"
+)
+#: The rules by which texts are cleaned: a private key goes with its body.
+CLEANING = tuple(Rule(r.kind, r.pattern + KEY_BODY) if r.kind == "private_key" else r for r in RULES)
 #: Texts that an expression's finite parts may be expanded into; beyond that, what is known so far becomes a condition.
 EXPANSIONS = 64
 CLASS = 8
@@ -206,8 +213,8 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int =
     return found.select("doc_id", *counts, F.sha2(told(F.filter(spans, lambda s: s["kind"] < base), rules), 256).alias("base_sha256"), told(spans, rules).alias("spans"))
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with every found span replaced by a mark (overlapping spans by one); texts without spans are unchanged."""
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = CLEANING, mark: str = "[secret]") -> DataFrame:
+    """docs with every found span replaced by a mark (overlapping spans by one), private keys with their bodies; texts without spans are unchanged."""
     found = scan(docs, rules)
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -249,6 +249,17 @@ def test_secrets(spark):
     assert cleaned[None].text == "clean words only" and run not in cleaned[3].text and cleaned[3].text.startswith("é😀 [secret]") and cleaned[0].text is None
 
 
+def test_redacted_keys_lose_their_bodies(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/", k=64)) for _ in range(25)] + ["Qw3rTy+/aZ=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole, bare = "\n".join([head, *lines, end]), "\n".join([head, *lines])
+    locked = "\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *lines, end])
+    texts = [f"before {whole} after", f"before {bare}\nafter it", f"before {locked} after", f"before {whole} mid {whole} after", f"before {head} after", "before " + whole.replace("\n", "\\n") + " after", f"before {bare}\nclean words - here\n{whole} after"]
+    cleaned = {r.doc_id: r.text for r in secret_scan.redacted(table(spark, texts)).collect()}
+    assert cleaned == {0: "before [secret] after", 1: "before [secret]\nafter it", 2: "before [secret] after", 3: "before [secret] mid [secret] after", 4: "before [secret] after", 5: "before [secret] after", 6: "before [secret]\nclean words - here\n[secret] after"}
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None
     assert secret_scan.trigram_query("AKIA[A-Z]+") == [frozenset({"aki", "kia"})]
