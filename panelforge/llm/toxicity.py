@@ -56,6 +56,7 @@ KNOWN = 4.0
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NOISE = re.compile(r"^([\W_])\1{2,}|([\W_])\2{2,}$|^[\"'(\[{«„“]+|[.,;:?\"')\]}»“”…]+$")
 TRACES = re.compile(r"[^\W\d_]*(?:[\W\d_]|([^\W\d_])\1\1)")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -140,14 +141,14 @@ class Restorer:
         got = self.memory.get(token)
         if got is None:
             core = NOISE.sub("", NOISE.sub("", token))
-            if core.isalpha() and not TRACES.match(core):
-                got = core
+            plain = core if core.isalpha() else EDGE.sub("", core)
+            traced = not core.isalpha() or TRACES.match(core)
+            if plain in self.lexicon or not 3 <= len(core) <= LONGEST or not (self.disguised(core) if traced else DOUBLED.search(core)):
+                got = plain
             else:
-                plain = EDGE.sub("", core)
-                if plain in self.lexicon or not 3 <= len(core) <= LONGEST or not self.disguised(core):
-                    got = plain
-                else:
-                    got = self.read(core)
+                got = self.read(core)
+                if got not in self.lexicon and not (traced and self.lettered(core)):
+                    got = plain  # so little of a disguise must lead to a known word
             if len(self.memory) > MEMORY:
                 self.memory.clear()
             self.memory[token] = got
@@ -157,7 +158,11 @@ class Restorer:
         """Whether a token may hide a word: letters, or signs that look like letters, make up at least half of it."""
         letters = sum(c.isalpha() for c in core)
         like = sum(c in LOOKALIKES for c in core)
-        return letters >= 1 and 2 * (letters + like) >= len(core) and (letters >= 2 or like <= 3)
+        return letters >= 1 and 2 * (letters + like) >= len(core)
+
+    def lettered(self, core: str) -> bool:
+        """Whether a token's own letters carry a reading that isn't a known word."""
+        return sum(c.isalpha() for c in core) >= 2 or sum(c in LOOKALIKES for c in core) <= 3
 
     def words(self, text: str) -> set[str]:
         """The restored words of a text."""
@@ -173,19 +178,15 @@ class Restorer:
                 out += self.spaced("".join(signs))
         return out
 
-    def plain(self, run: str) -> str:
-        """Joined signs as they are if they are letters, else their likeliest reading."""
-        return run if run.isalpha() else self.restore(run)
-
     def spaced(self, run: str) -> list[str]:
         """Known words in a run of single signs: the whole run, else the longest found from the left."""
-        whole = self.plain(run) if len(run) <= LONGEST else ""
+        whole = self.restore(run) if len(run) <= LONGEST else ""
         if whole in self.lexicon:
             return [whole]
         out, at = [], 0
         while at < len(run):
             for to in range(min(len(run), at + 20), at + 2, -1):
-                word = self.plain(run[at:to])
+                word = self.restore(run[at:to])
                 if word in self.lexicon and len(word) > 2:
                     out.append(word)
                     at = to

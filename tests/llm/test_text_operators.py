@@ -361,6 +361,15 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(odd, labels.limit(0)).count() == 3
 
 
+def test_doubled_letters_and_heavy_leetspeak():
+    words = ["idiot", "stupid", "moron", "hello", "letter", "other"]
+    grams = [f"^^{w}$"[i : i + 3] for w in words for i in range(len(w) + 1)]
+    reader = toxicity.Restorer(toxicity.CharModel({g: 5 * grams.count(g) for g in grams}), dict.fromkeys(words, 5))
+    for token, word in (("iddiot", "idiot"), ("stuppid", "stupid"), ("morron", "moron"), ("1d107", "idiot"), ("iddi0t", "idiot"), ("letter", "letter"), ("bookkeeper", "bookkeeper"), ("hello", "hello"), ("a100000", "a100000")):
+        assert reader.restore(token) == word
+    assert reader.words("so i d d i o t it is") >= {"idiot"}
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "ngram_jaccard", "decontamination", "secret_scan", "bpe"]
