@@ -3,8 +3,8 @@
 The channel writes a letter as itself or as a look-alike (leetspeak), repeats it, puts marks between letters, or spaces a
 word out. A token that shows such traces becomes a character lattice; a beam Viterbi search under a trigram character
 model gives its likeliest readings, and known words are preferred by their frequency. The character model counts every
-word of every text; the known words are the LEXICON most frequent ones and the score's own words, so what goes to each
-task is bounded while the counts cover the corpus.
+word of every text; the known words are the LEXICON most frequent ones, the score's own words, and every word of the
+corpus that carries one of the score's signs.
 
 The score is logistic in the presence of signs: restored words and their first PREFIXES letters (families of inflected
 words share them). It learns from SAMPLE labelled texts at most (the first by a
@@ -219,12 +219,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def char_model(words: DataFrame) -> CharModel:
-    """The trigram model of counted words; its table is bounded by the alphabet, not by the texts."""
+    """The trigram model of counted words, from all trigrams that occur."""
     marked = F.concat(F.lit("^^"), "word", F.lit("$"))
     grams = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(marked, i, F.lit(3)))).alias("g"))
-    table = grams.groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
-    # letters outside the commonest ones would let the table grow with odd scripts
-    table = table.orderBy(F.desc("n"), "g").limit(60_000)
+    table = grams.groupBy("g").agg(F.sum("n").alias("n"))
     return CharModel({r.g: r.n for r in table.collect()})
 
 
@@ -310,6 +308,15 @@ def distinct_signs(signs: list[tuple]) -> list[tuple]:
     return sorted(s for same in kept.values() for s in same)
 
 
+def carriers(words: DataFrame, signs: list[str]) -> dict[str, int]:
+    """Every counted word that carries one of the signs, however rare."""
+    beginnings = [F.substring("word", 1, k).isin([s[:-1] for s in signs if s.endswith("-") and len(s) == k + 1]) & (F.length("word") > k) for k in PREFIXES]
+    held = F.col("word").isin([s for s in signs if not s.endswith("-")])
+    for beginning in beginnings:
+        held = held | beginning
+    return {r.word: r.n for r in words.filter(held & (F.length("word") > 2)).collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     """Learn from the labelled rows outside the held-out fold."""
     spark = docs.sparkSession
@@ -340,7 +347,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
             x[i, place[w]] = 1
     weights, bias = fit_weights(x, y, PRIOR * np.array([b[3] for b in best]))
     learned = {w: float(v) for w, v in zip(chosen_words, weights, strict=True)}
-    restorer.lexicon |= {w: lexicon.get(w, 1) for w, v in learned.items() if v > 0.5 and not w.endswith("-")}
+    strong = [w for w, v in learned.items() if v > 0.5]
+    restorer.lexicon |= {w: lexicon.get(w, 1) for w in strong if not w.endswith("-")} | carriers(words, strong)
     return Toxicity(Restorer(restorer.model, restorer.lexicon), learned, bias)
 
 

@@ -370,6 +370,18 @@ def test_doubled_letters_and_heavy_leetspeak():
     assert reader.words("so i d d i o t it is") >= {"idiot"}
 
 
+def test_rare_words_with_a_learned_sign_are_known(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON", 3)  # all of the words below are rarer than that
+    rng = random.Random(4)
+    common_words = ["".join(rng.choices("bcdefhimnpstu", k=5)) for _ in range(60)]
+    family = ["zorkly" + a + b for a in "abdeg" for b in "hilnopqrst"]
+    texts = [" ".join(rng.choices(common_words, k=30) + ([family[i // 4 % 50]] if i % 4 == 0 else [])) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(table(spark, [*texts, "zorklyxen"]), labels)
+    assert "zorklyxen" not in model.weights and model.score("zorklyxen") > 0.5 > model.score("clean words")
+    assert model.score("z o r k l y x e n") > 0.5
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "ngram_jaccard", "decontamination", "secret_scan", "bpe"]
