@@ -81,23 +81,24 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 class Chunk:
-    """A chunk's documents in ascending id order (ties by text), its words and their hashes."""
+    """A chunk's documents in ascending id order (ties by text) and the hashes of their words; texts only if asked for."""
 
-    def __init__(self, table: pa.Table, lower: bool = False):
+    def __init__(self, table: pa.Table, lower: bool = False, keep: bool = False):
         from .wordhash import word_bounds, word_hashes
 
-        self.ids, self.known, self.texts = unpack(table)
-        texts = self.texts
+        self.ids, self.known, texts = unpack(table)
         offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) for t in self.texts], out=offsets[1:])
-        data = np.frombuffer(b"".join(self.texts), np.uint8)
+        np.cumsum([len(t) for t in texts], out=offsets[1:])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        self.texts = texts if keep else None
+        del texts
         starts, ends, self.doc = word_bounds(data, offsets)
         self.words = word_hashes(data, starts, ends, lower)
         #: Position of each document's first word.
-        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+        self.first = np.searchsorted(self.doc, np.arange(len(offsets), dtype=np.int32))
 
     def __len__(self) -> int:
-        return len(self.texts)
+        return len(self.ids)
 
 
 def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -41,6 +41,27 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(schema).parquet(path)
 
 
+#: A key with more than one in so many rows is hot; so there are at most that many hot keys.
+HOT_SHARE = 1000
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys that hold more than one in HOT_SHARE of the rows: HOT_SHARE rows at most, however large df is."""
+    total = df.count()
+    return stored(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") * HOT_SHARE > total).select(key), "hot-keys")
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Inner join of big with small (one row for a key): rows of hot keys meet a broadcast, so no task gets all rows of a key.
+
+    What is broadcast are HOT_SHARE rows of small at most. big is read twice, so it should be a stored table.
+    """
+    hot = hot_keys(big, key) if hot is None else hot
+    few = small.join(F.broadcast(hot), key, "left_semi")
+    usual = big.join(F.broadcast(hot), key, "left_anti").join(small, key)
+    return usual.unionByName(big.join(F.broadcast(few), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,15 +12,17 @@ def connected(links: DataFrame) -> DataFrame:
     """Rows (key, comp) for every key of links (a, b): comp is the smallest key of its component.
 
     A round takes the least label among neighbours, then the label of that label, so long chains halve. Each round's
-    labels are written to the shared folder. No links give no rows.
+    labels are written to the shared folder. A star's hub, and a label that many keys have, are hot keys of the two
+    joins; they meet a broadcast of bounded size. No links give no rows.
     """
     both = common.stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    hubs = common.hot_keys(both, "b")
     labels = common.stored(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.key).groupBy(both.a.alias("key")).agg(F.min("comp").alias("near"))
-        low = labels.join(near, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("next"))
+        near = common.split_join(both, labels.withColumnRenamed("key", "b"), "b", hubs).groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("near"))
+        low = common.stored(labels.join(near, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("next")), "labels")
         jump = labels.select(F.col("key").alias("next"), F.col("comp").alias("far"))
-        step = common.stored(low.join(jump, "next").select("key", "old", F.least("next", "far").alias("comp")), "labels")
+        step = common.stored(common.split_join(low, jump, "next").select("key", "old", F.least("next", "far").alias("comp")), "labels")
         labels = step.select("key", "comp")
         if step.filter("old <> comp").isEmpty():
             return labels

@@ -39,22 +39,26 @@ RUN = "bucket int, chunk int, width int, prints binary, counts binary"
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, prefix array<long>, places array<int>, shared binary, bits array<long>"
 #: 64-bit parts of the bitmap that stands for a set's shared shingles.
 PARTS = 8
+#: Groups of a token that are paired with as many others in one task's key.
+SLICE = 512
 
 
 def shingle_sets(chunk: chunks.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Document numbers and shingle hashes, sorted by both and distinct."""
     docs, hashes = [], []
-    at = np.flatnonzero(grams_within(chunk.doc, n))
-    docs.append(chunk.doc[at])
-    hashes.append(gram_hashes(chunk.words, n)[at])
+    inside = grams_within(chunk.doc, n)
+    docs.append(chunk.doc[: len(inside)][inside])
+    hashes.append(gram_hashes(chunk.words, n)[inside])
     sizes = np.diff(chunk.first)
     for k in range(1, n):
         short = np.flatnonzero(sizes == k)
-        docs.append(short)
+        docs.append(short.astype(np.int32))
         hashes.append(gram_hashes(chunk.words, k)[chunk.first[short]] if len(short) else np.zeros(0, np.uint64))
     doc, value = np.concatenate(docs), np.concatenate(hashes)
+    del docs, hashes
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
+    del order
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     return doc[new], value[new]
@@ -68,7 +72,14 @@ def print_bytes(size: int) -> int:
 def _prints(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct fingerprints (the hash's high bytes), each value's entry among them, and the values of each."""
     cut = values >> np.uint64(64 - 8 * width) << np.uint64(64 - 8 * width) if width < 8 else values
-    return np.unique(cut, return_inverse=True, return_counts=True)
+    order = np.argsort(cut)
+    ordered = cut[order]
+    new = np.ones(len(cut), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    entry = np.empty(len(cut), np.int32)
+    entry[order] = np.cumsum(new, dtype=np.int32) - 1
+    at = np.flatnonzero(new)
+    return ordered[new], entry, np.diff(np.append(at, len(cut)))
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -124,50 +135,90 @@ def _count(runs: DataFrame) -> DataFrame:
     return runs.groupBy("bucket").applyInArrow(run, ddl)
 
 
+def _bitmaps(rank: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+    """PARTS 64-bit words for each of many sets; rank is each value's set, ascending."""
+    out = np.zeros((many, PARTS), np.int64)
+    for lo in range(0, many, 10_000):
+        i, j = np.searchsorted(rank, [lo, min(many, lo + 10_000)])
+        bits = np.zeros((min(many, lo + 10_000) - lo, 64 * PARTS), bool)
+        bits[rank[i:j] - lo, (values[i:j] % np.uint64(64 * PARTS)).astype(np.int64)] = True
+        out[lo : lo + len(bits)] = np.packbits(bits, axis=1).view(np.int64)
+    return out
+
+
+def _offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+
+
+def _signature_table(chunk: chunks.Chunk, doc: np.ndarray, values: np.ndarray, level: np.ndarray, percent: int) -> pa.Table:
+    """SIGNATURE's rows; columns are made from flat arrays, not from Python values."""
+    many = len(chunk)
+    first = np.searchsorted(doc, np.arange(many + 1, dtype=np.int32))
+    low, size = first[:-1], np.diff(first)
+    start = low + np.bincount(doc[level < 2], minlength=many)
+    end = np.where(size > 0, low + size - (percent * size + 99) // 100 + 1, low)
+    live = start < end
+    none = pa.array(~live)
+    # within a document by level, then value: values are in order already
+    order = np.argsort(doc.astype(np.int64) << 8 | level, kind="stable")
+    place = np.arange(len(doc))
+    held = live[doc] & (place >= start[doc]) & (place < end[doc])
+    prefix, places = values[order[held]].view(np.int64), (place - low[doc])[held].astype(np.int32)
+    del order, place, held
+    cuts = _offsets(np.where(live, end - start, 0))
+    kept = (level >= 2) & live[doc]
+    shared, owner = values[kept], doc[kept]
+    bounds = _offsets(8 * np.bincount(owner, minlength=many))
+    keys = [hashlib.blake2b(values[i:j].tobytes(), digest_size=16).digest() if ok else None for i, j, ok in zip(first[:-1].tolist(), first[1:].tolist(), live.tolist(), strict=True)]
+    maps = _bitmaps((np.cumsum(live) - 1)[owner], shared, int(live.sum()))
+    return pa.table(
+        [
+            pa.array(chunk.ids, mask=~chunk.known),
+            pa.array(size.astype(np.int64)),
+            pa.array(keys, pa.binary()),
+            pa.ListArray.from_arrays(cuts, pa.array(prefix), mask=none),
+            pa.ListArray.from_arrays(cuts, pa.array(places), mask=none),
+            pa.Array.from_buffers(pa.binary(), many, [pa.array(live).buffers()[1], bounds.buffers()[1], pa.py_buffer(shared)]),
+            pa.ListArray.from_arrays(_offsets(PARTS * live), pa.array(maps.ravel()), mask=none),
+        ],
+        names=[f.split()[0] for f in SIGNATURE.split(", ")],
+    )
+
+
 def _signatures(packed: DataFrame, counted: DataFrame, buckets: int, n: int, percent: int, width: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunks.Chunk(left, lower=True)
         doc, values = shingle_sets(chunk, n)
+        chunk.words = chunk.doc = None  # only ids are needed from here on
         prints, entry, _ = _prints(values, width)
         cuts = chunks.bucket_cuts(prints, buckets)
         known = np.ones(len(prints), np.uint8)
+        del prints
         for b, levels in zip(right.column("bucket").to_pylist(), right.column("levels").to_pylist(), strict=True):
             known[cuts[b] : cuts[b + 1]] = np.frombuffer(common.unsqueeze(levels), np.uint8)
         level = known[entry]
-        first = np.searchsorted(doc, np.arange(len(chunk) + 1))
-        order = np.lexsort((values, level, doc))
-        ranked, ranked_level = values[order], level[order]
-        rows = []
-        for i in range(len(chunk)):
-            lo, hi = int(first[i]), int(first[i + 1])
-            size, id_ = hi - lo, int(chunk.ids[i]) if chunk.known[i] else None
-            end = lo + size - (percent * size + 99) // 100 + 1 if size else lo
-            start = lo + int(np.searchsorted(ranked_level[lo:end], 2))
-            if start >= end:
-                rows.append((id_, size, None, None, None, None, None))
-                continue
-            own = values[lo:hi]
-            key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-            shared = own[level[lo:hi] >= 2]
-            bits = np.zeros(64 * PARTS, bool)
-            bits[(shared % np.uint64(64 * PARTS)).astype(np.int64)] = True
-            rows.append((id_, size, key, ranked[start:end].view(np.int64).tolist(), list(range(start - lo, end - lo)), shared.tobytes(), np.packbits(bits).view(np.int64).tolist()))
-        return common.arrow_table(rows, SIGNATURE)
+        del entry
+        return _signature_table(chunk, doc, values, level, percent)
 
     return packed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, SIGNATURE)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of node keys, those above the threshold; the sets are compared whole."""
+    """Of the pairs (a, b) of node keys, those above the threshold, as pairs of _name()s; the sets are compared whole."""
 
     @F.pandas_udf("long")
     def common_shingles(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
 
-    left = nodes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = nodes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+    left = nodes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), _name().alias("named_a"))
+    right = nodes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), _name().alias("named_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("met", common_shingles("sa", "sb"))
-    return both.filter(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met"))).select("a", "b")
+    return both.filter(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met"))).select(F.col("named_a").alias("a"), F.col("named_b").alias("b"))
+
+
+def _name() -> Column:
+    """A node by its smallest doc_id (nodes without one come last), then its key: a component's smallest name tells its id."""
+    return F.struct(F.col("low").isNull().alias("none"), F.coalesce("low", F.lit(0)).alias("low"), F.col("key").alias("key"))
 
 
 def _may_link(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
@@ -224,17 +275,21 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
     links = common.stored(_verified(pairs.distinct(), nodes, percent), "shingle-links")
     comps = connected(links)
 
-    placed = common.stored(members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "shingle-placed")
+    placed = members.join(comps.select("key.key", F.col("comp.key").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    placed = common.stored(placed, "shingle-placed")
     span = placed.groupBy(F.col("centre").alias("g")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     posted = posts.join(span, "g")
-    mixed = posted.groupBy("token").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1")).filter("t0 <> t1").select("token")
-    posted = common.stored(posted.join(mixed, "token", "left_semi"), "shingle-mixed")
+    mixed = posted.groupBy("token").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1"), F.count(F.lit(1)).alias("many")).filter("t0 <> t1").select("token", "many")
+    posted = common.stored(common.split_join(common.stored(posted, "shingle-posted"), mixed, "token"), "shingle-mixed")
     maps = [f"{c}{i}" for c in ("all", "any") for i in range(PARTS)]
     posted = posted.join(groups.select(F.col("centre").alias("g"), "held", *maps), "g")
-    p, q = (posted.select("token", *(F.col(c).alias(c + s) for c in ("g", "n", "place", "c0", "c1", "held", *maps))) for s in "xy")
+    # the groups of a token are dealt into slices, and a task gets a slice met by a slice
+    slices = F.ceil(F.col("many") / SLICE).cast("int")
+    own, every = F.pmod(F.xxhash64("g"), slices).cast("int"), F.explode(F.sequence(F.lit(0), slices - 1))
+    p, q = (posted.select("token", F.col("g").alias(f"g{s}"), *(F.col(c).alias(c + s) for c in ("n", "place", "c0", "c1", "held", *maps)), own.alias(f"s{s}"), every.alias(f"s{o}")) for s, o in (("x", "y"), ("y", "x")))
     apart = (F.col("gx") < F.col("gy")) & ((F.col("c0x") != F.col("c0y")) | (F.col("c1x") != F.col("c1y")) | (F.col("c0x") != F.col("c1x")))
     within = (F.col("gx") == F.col("gy")) & (F.col("c0x") != F.col("c1x"))
-    met = p.join(q, "token").filter((apart & _may_link(F.col("nx"), F.col("placex"), F.col("ny"), F.col("placey"), percent) & _maps_fit(percent)) | within).select("gx", "gy").distinct()
+    met = p.join(q, ["token", "sx", "sy"]).filter((apart & _may_link(F.col("nx"), F.col("placex"), F.col("ny"), F.col("placey"), percent) & _maps_fit(percent)) | within).select("gx", "gy").distinct()
     own = ["n", "held", *(f"bits{i}" for i in range(PARTS))]
     a, b = (placed.select(F.col("centre").alias(f"g{s}"), F.col("key").alias(k), F.col("comp").alias(f"c{s}"), *(F.col(c).alias(c + s) for c in own)) for s, k in (("x", "a"), ("y", "b")))
     wide = met.join(a, "gx").join(b, "gy").filter((F.col("cx") != F.col("cy")) & ((F.col("gx") != F.col("gy")) | (F.col("a") < F.col("b"))) & _maps_fit(percent, "bits", "bits"))
@@ -242,7 +297,6 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
     more = common.stored(_verified(wide, nodes, percent), "shingle-links")
     comps = connected(links.union(more)) if not more.isEmpty() else comps
 
-    named = members.join(comps, "key", "left").select("key", "low", F.coalesce("comp", "key").alias("comp"))
-    lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    ends = named.join(lows, "comp").select(F.col("key").alias("set_key"), "component_id")
-    return rest.join(ends, "set_key").select("doc_id", "n_shingles", "component_id").union(alone)
+    least = F.when(~F.col("comp.none"), F.col("comp.low"))
+    ends = members.select("key", "low").join(comps.select("key.key", "comp"), "key", "left").select(F.col("key").alias("set_key"), F.when(F.col("comp").isNull(), F.col("low")).otherwise(least).alias("component_id"))
+    return common.split_join(rest.select("doc_id", "n_shingles", "set_key"), ends, "set_key").select("doc_id", "n_shingles", "component_id").union(alone)

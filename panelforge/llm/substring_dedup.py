@@ -102,7 +102,7 @@ def _answer(packed: DataFrame, answers: DataFrame, buckets: int, width: int) ->
     """Each document's counts and the digest of its kept words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = chunks.Chunk(left)
+        chunk = chunks.Chunk(left, keep=True)
         at, _, order, ordered, new = _windows(chunk, width)
         entries = np.flatnonzero(new)
         cuts = chunks.bucket_cuts(ordered[new], buckets)

@@ -43,8 +43,10 @@ LONGEST = 40
 #: Frequent words that a reading may be, at most.
 LEXICON = 20_000
 BEAM = 24
-#: Tokens a worker remembers.
-MEMORY = 500_000
+#: Tokens a worker remembers: a bound on its memory alone, not on what is read.
+MEMORY = 60_000
+#: Distinct words that a task counts before it passes its counts on.
+COUNTED = 200_000
 
 #: Letters that look like a sign.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -208,7 +210,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 count.update(text.lower().split())
-            if len(count) > MEMORY:
+            if len(count) > COUNTED:
                 yield made()
                 count.clear()
         yield made()

@@ -18,8 +18,8 @@ LOWER[65:91] += 32
 
 #: Odd multipliers of the polynomials: bytes of a word, words of a gram, and the second, checking form.
 BYTE_BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
-#: Bytes hashed at a time.
-BLOCK = 1 << 20
+#: Bytes hashed at a time; a longer word is hashed in parts.
+BLOCK = 1 << 18
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -28,7 +28,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         with np.errstate(over="ignore"):
             made = []
             for b in (base, pow(base, -1, 1 << 64)):
@@ -41,16 +41,17 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = x ^ (x >> np.uint64(shift))
+        if odd > 1:
+            x *= np.uint64(odd)
+    return x
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document number of every word; offsets (one more than documents) part the documents, and bytes marked in parts the words."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     word = ~parts[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -63,7 +64,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE
     ends = ends[ends > 0] - 1
     last[ends] = word[ends]
     starts = np.flatnonzero(first)
-    return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
+    return starts, np.flatnonzero(last) + 1, (np.searchsorted(offsets, starts, "right") - 1).astype(np.int32)
+
+
+def _long_word(part: np.ndarray) -> np.uint64:
+    """The polynomial of a word longer than BLOCK, part by part."""
+    total = 0
+    up, _ = powers(BYTE_BASE, BLOCK)
+    for at in range(0, len(part), BLOCK):
+        piece = part[at : at + BLOCK].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            total += int(np.sum((piece + np.uint64(1)) * up[: len(piece)])) * pow(BYTE_BASE, at, 1 << 64)
+    return np.uint64(total % (1 << 64))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
@@ -76,7 +88,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         part = data[lo:hi]
         if lower:
             part = LOWER[part]
-        up, down = powers(BYTE_BASE, hi - lo)
+        if hi - lo > BLOCK:
+            out[at] = _long_word(part)
+            at = to
+            continue
+        up, down = powers(BYTE_BASE, BLOCK)
         with np.errstate(over="ignore"):
             sums = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
@@ -87,13 +103,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 
 def gram_hashes(words: np.ndarray, n: int, base: int = WORD_BASE) -> np.ndarray:
     """The hash of the n words from each position on; positions near the end give fewer entries."""
-    if len(words) < n:
+    many = len(words) - n + 1
+    if many <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(base, len(words))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
-        return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1] + np.uint64(n))
+    out = words[n - 1 :].copy()
+    for k in range(n - 2, -1, -1):
+        out *= np.uint64(base)
+        out += words[k : k + many]
+    out += np.uint64(n)
+    return mix(out)
 
 
 def grams_within(docs: np.ndarray, n: int) -> np.ndarray:
