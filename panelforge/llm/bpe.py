@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding by batched numpy merge rounds.
 
 The vocabulary and merges come from a public tokenizer file. Words that a worker hasn't met are merged together: their
-symbols lie in one flat array, and each round looks up the ranks of all neighbouring pairs by binary search over the
-sorted pair keys, takes the lowest rank of every word and merges its occurrences from the left. Encoded words are
-remembered (WORDS of them at most, then the memory starts anew), so a text costs a lookup per word.
+symbols lie in one flat array beside the ranks of neighbouring pairs, which a binary search over the sorted pair keys
+gives. Each round takes the lowest rank of every word, merges its occurrences from the left and searches anew only beside
+the merged places. A word of more than LONG bytes would take a round for each of thousands of ranks; its pairs wait in a
+heap by rank and place instead, which merges them in the same order. Encoded words are remembered (WORDS of them at most,
+then the memory starts anew: a bound on memory alone), so a text costs a lookup per word.
 
 Text is cut at single spaces between two characters other than white space before the file's own splitting pattern is
 applied: no match of the pattern reaches over such a place, except that it begins with the space.
@@ -16,7 +18,9 @@ one for one, whatever doc_id; other columns are ignored (the stage function keep
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +35,9 @@ from . import common
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space beside a space, or at an end: then a text is not cut at its spaces.
 UNEVEN = regex.compile(r"\s \s?|^ | $| \s")
-WORDS = 400_000
-NONE = np.iinfo(np.int64).max
+WORDS = 300_000
+LONG = 4096
+NONE = np.iinfo(np.int32).max
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -57,39 +62,51 @@ class Bpe:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        #: For each id its decimal digits, and its bytes.
+        top = max(self.bytes_of) + 1
+        self.digits = [str(i) for i in range(top)]
+        self.bytes_at = [self.bytes_of.get(i, b"") for i in range(top)]
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.clear()
 
     def clear(self) -> None:
-        self.word_ids: dict[str, tuple[int, ...]] = {}
-        #: For a piece that follows a cut: its entry in the three lists below.
-        self.entry: dict[str, int] = {}
-        self.said: list[str] = []
-        self.count: list[int] = []
-        self.decoded: list[bytes] = []
-
-    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of words, all merged together."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        done: list[tuple[int, ...]] = [()] * len(words)
+        #: Ids, as packed 32-bit numbers, of a piece that follows a cut.
+        self.entry: dict[str, bytes] = {}
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, NONE for those that never merge."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], NONE)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of words, all merged together."""
+        done = [b""] * len(words)
+        short = []
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                done[k] = self.merge_long(w)
+            elif w:
+                short.append(k)
+        sizes = np.array([len(words[k]) for k in short], np.int64)
+        flat = self.byte_ids[np.frombuffer(b"".join([words[k] for k in short]), np.uint8)]
+        word = np.repeat(np.array(short, np.int32), sizes)
+        rank = np.full(len(flat), NONE, np.int32)
+        if len(flat) > 1:
+            rank[:-1] = np.where(word[:-1] == word[1:], self.ranked(flat[:-1], flat[1:]), NONE)
         while len(flat):
-            keys = flat[:-1] << 32 | flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == keys) & (word[:-1] == word[1:]), self.ranks[at], NONE)
-            rank = np.append(rank, NONE)
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             low = np.minimum.reduceat(rank, heads)
             ended = low == NONE
             tails = np.append(heads[1:], len(flat))
-            for w, i, j in zip(word[heads[ended]].tolist(), heads[ended].tolist(), tails[ended].tolist(), strict=True):
-                done[w] = tuple(flat[i:j].tolist())
+            if ended.any():
+                packed = flat.astype("<u4").tobytes()
+                for w, i, j in zip(word[heads[ended]].tolist(), heads[ended].tolist(), tails[ended].tolist(), strict=True):
+                    done[w] = packed[4 * i : 4 * j]
             spans = tails - heads
-            hit = (rank == np.repeat(low, spans)) & (rank != NONE)
-            place = np.flatnonzero(hit)
+            place = np.flatnonzero((rank == np.repeat(low, spans)) & (rank != NONE))
             if not len(place):
                 break
             # of occurrences that overlap, every other one from the left
@@ -99,16 +116,59 @@ class Bpe:
             flat[place] = self.merged[rank[place]]
             keep = np.repeat(~ended, spans)
             keep[place + 1] = False
-            flat, word = flat[keep], word[keep]
+            at = (np.cumsum(keep) - 1)[place]
+            flat, word, rank = flat[keep], word[keep], rank[keep]
+            # only pairs that hold a merged symbol have a new rank
+            changed = np.zeros(len(flat), bool)
+            changed[at], changed[at[at > 0] - 1] = True, True
+            if changed[-1]:
+                changed[-1], rank[-1] = False, NONE
+            beside = np.flatnonzero(changed)
+            rank[beside] = np.where(word[beside] == word[beside + 1], self.ranked(flat[beside], flat[beside + 1]), NONE)
         return done
 
-    def ids_of_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of pieces of text without special tokens."""
+    def merge_long(self, word: bytes) -> bytes:
+        """The packed ids of one long word: the lowest rank first, of equal ranks the leftmost place."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        first = self.ranked(ids[:-1], ids[1:]).tolist()
+        keys, ranks, merged = self.keys.tolist(), self.ranks, self.merged
+        symbols: list[int | None] = ids.tolist()
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [*first, NONE]
+        heap = [(r, i) for i, r in enumerate(first) if r != NONE]
+        heapq.heapify(heap)
+
+        def judge(i: int) -> None:
+            j = after[i]
+            now[i] = NONE
+            if j < n:
+                key = symbols[i] << 32 | symbols[j]
+                at = bisect_left(keys, key)
+                if at < len(keys) and keys[at] == key:
+                    now[i] = int(ranks[at])
+                    heapq.heappush(heap, (now[i], i))
+
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if now[i] != rank or symbols[i] is None:
+                continue
+            j = after[i]
+            symbols[i], symbols[j] = int(merged[rank]), None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            judge(i)
+            if before[i] >= 0:
+                judge(before[i])
+        return np.array([x for x in symbols if x is not None], "<u4").tobytes()
+
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of pieces of text without special tokens."""
         split = [PATTERN.findall(p) for p in pieces]
-        new = list({w for ws in split for w in ws if w not in self.word_ids})
-        for w, ids in zip(new, self.merge([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            self.word_ids[w] = ids
-        return [[i for w in ws for i in self.word_ids[w]] for ws in split]
+        new = list({w for ws in split for w in ws})
+        known = dict(zip(new, self.merge([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
+        return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split]
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that are encoded alone; special tokens are parts of their own."""
@@ -126,26 +186,24 @@ class Bpe:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """For each text the entries of its pieces; said, count and decoded hold what they stand for."""
-        if len(self.entry) > WORDS or len(self.word_ids) > WORDS:
+        """The ids of each text."""
+        if len(self.entry) > WORDS:
             self.clear()
         split = [self.pieces(t) for t in texts]
-        new = list({p for ps in split for p in ps if p not in self.entry})
+        entry = self.entry
+        new = list({p for ps in split for p in ps if p not in entry})
         plain = [p for p in new if p not in self.special]
-        for p, ids in [*zip(plain, self.ids_of_pieces(plain), strict=True), *((p, [self.special[p]]) for p in new if p in self.special)]:
-            self.entry[p] = len(self.said)
-            self.said.append(",".join(map(str, ids)))
-            self.count.append(len(ids))
-            self.decoded.append(self.decode_bytes(ids))
-        get = self.entry.__getitem__
-        return [list(map(get, ps)) for ps in split]
+        entry.update(zip(plain, self.ids_of_pieces(plain), strict=True))
+        entry.update((p, np.array([self.special[p]], "<u4").tobytes()) for p in new if p in self.special)
+        get = entry.__getitem__
+        return [np.frombuffer(b"".join(map(get, ps)), "<u4").tolist() for ps in split]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+        return b"".join(map(self.bytes_at.__getitem__, ids))
 
     def encode_ids(self, text: str) -> list[int]:
         """The ids of one text."""
-        return [int(i) for e in self.encode([text])[0] for i in self.said[e].split(",") if i]
+        return self.encode([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
@@ -171,10 +229,10 @@ def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             for at in range(0, whole.num_rows, 250):
                 batch = whole.slice(at, 250)
                 n, ids, texts = [], [], []
-                for entries in bpe.encode(batch.column(1).to_pylist()):
-                    n.append(sum(map(bpe.count.__getitem__, entries)))
-                    ids.append(hashlib.sha256(",".join(map(bpe.said.__getitem__, entries)).encode()).hexdigest())
-                    texts.append(hashlib.sha256(b"".join(map(bpe.decoded.__getitem__, entries)).decode("utf-8", "replace").encode()).hexdigest())
+                for found in bpe.encode(batch.column(1).to_pylist()):
+                    n.append(len(found))
+                    ids.append(hashlib.sha256(",".join(map(bpe.digits.__getitem__, found)).encode()).hexdigest())
+                    texts.append(hashlib.sha256(bpe.decode(found).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(common.each(run), RESULT)
