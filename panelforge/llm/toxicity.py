@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,21 @@ SIGNS, FEWEST = 400, 6
 PREFIXES = (4, 5, 6)
 #: Share of its own log-odds that a sign's weight is held to.
 PRIOR = 0.7
-#: Signs longer than this aren't a disguised word.
-LONGEST = 40
 #: Frequent words that a reading may be, at most.
 LEXICON = 20_000
 BEAM = 24
+#: Signs of a spaced-out word inside a longer run of single signs, at most: longer than the known words.
+SPREAD = 20
 #: Tokens a worker remembers: a bound on its memory alone, not on what is read.
 MEMORY = 60_000
 #: Distinct words that a task counts before it passes its counts on.
 COUNTED = 200_000
 
 #: Letters that look like a sign.
+#: The second table holds Cyrillic and Greek letters that look like Latin ones; they count in words that mix scripts.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
+FOREIGN = {"а": "a", "в": "b", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ԁ": "d", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u"}
+LOOKALIKES |= FOREIGN
 #: Costs, in nats, of a look-alike, a mark between letters, and a repeated letter.
 SWAP, MARK, REPEAT = 1.5, 1.2, 1.0
 #: What a known word is worth beside its characters.
@@ -59,7 +63,12 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NOISE = re.compile(r"^([\W_])\1{2,}|([\W_])\2{2,}$|^[\"'(\[{«„“]+|[.,;:?\"')\]}»“”…]+$")
 TRACES = re.compile(r"[^\W\d_]*(?:[\W\d_]|([^\W\d_])\1\1)")
 DOUBLED = re.compile(r"([^\W\d_])\1")
-SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Of a sign that stands more often in a row, so many are read: each one more costs every reading the same.
+RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Marks at a token's ends that are no part of a word.
+OUTER = "\"'([{«„“.,;:?)]}»”…"
+MIXED = re.compile(f"(?=.*[a-z]).*[{''.join(FOREIGN)}]")
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -144,16 +153,17 @@ class Restorer:
         if got is None:
             core = NOISE.sub("", NOISE.sub("", token))
             plain = core if core.isalpha() else EDGE.sub("", core)
-            traced = not core.isalpha() or TRACES.match(core)
-            if plain in self.lexicon or not 3 <= len(core) <= LONGEST or not (self.disguised(core) if traced else DOUBLED.search(core)):
+            traced = not core.isalpha() or TRACES.match(core) or (not core.isascii() and MIXED.match(core))
+            if plain in self.lexicon or len(core) < 3 or not (self.disguised(core) if traced else DOUBLED.search(core)):
                 got = plain
             else:
-                got = self.read(core)
+                got = self.read(RUN.sub(r"\1\1\1", core))
                 if got not in self.lexicon and not (traced and self.lettered(core)):
                     got = plain  # so little of a disguise must lead to a known word
             if len(self.memory) > MEMORY:
                 self.memory.clear()
-            self.memory[token] = got
+            if len(token) <= 100:
+                self.memory[token] = got
         return got
 
     def disguised(self, core: str) -> bool:
@@ -182,12 +192,12 @@ class Restorer:
 
     def spaced(self, run: str) -> list[str]:
         """Known words in a run of single signs: the whole run, else the longest found from the left."""
-        whole = self.restore(run) if len(run) <= LONGEST else ""
+        whole = self.restore(run)
         if whole in self.lexicon:
             return [whole]
         out, at = [], 0
         while at < len(run):
-            for to in range(min(len(run), at + 20), at + 2, -1):
+            for to in range(min(len(run), at + SPREAD), at + 2, -1):
                 word = self.restore(run[at:to])
                 if word in self.lexicon and len(word) > 2:
                     out.append(word)
@@ -215,7 +225,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 count.clear()
         yield made()
 
-    words = docs.select(common.text_of().alias("text")).mapInArrow(run, "word string, n long")
+    words = docs.select(common.text_of().alias("text")).mapInArrow(common.each(run), "word string, n long")
     words = words.withColumn("word", F.regexp_replace("word", r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")).filter(F.rlike("word", F.lit(r"^\p{L}{1,40}$")))
     return words.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -243,6 +253,59 @@ class Toxicity:
 
     def __post_init__(self) -> None:
         self.memory: dict[str, tuple[str, ...]] = {}
+        #: Whether words with these first four letters may carry a sign.
+        self.heads: dict[str, bool] = {}
+        self.four = {s.removesuffix("-")[:4] for s in self.weights}
+        #: The signs as a tree: (next letters, whether a sign ends here, letter).
+        self.tree: tuple[dict, list, str] = ({}, [False], "")
+        for s in self.weights:
+            node = self.tree
+            for c in s.removesuffix("-"):
+                node = node[0].setdefault(c, ({}, [False], c))
+            node[1][0] = True
+
+    def could(self, token: str) -> bool:
+        """Whether some reading of a token begins with a sign: every move of Restorer.read() is allowed, at no cost."""
+        nodes = {0: self.tree}
+        for sign in token:
+            free = not sign.isalpha()
+            letters = LOOKALIKES.get(sign, "") if free else sign + LOOKALIKES.get(sign, "")
+            grown = dict(nodes) if free else {}
+            for node in nodes.values():
+                for c in letters:
+                    then = node[0].get(c)
+                    if then is not None:
+                        if then[1][0]:
+                            return True
+                        grown[id(then)] = then
+                    if c == node[2]:
+                        grown[id(node)] = node
+            if not grown:
+                return False
+            nodes = grown
+        return False
+
+    def open_head(self, head: str) -> bool:
+        """Whether a word of letters with this beginning may carry a sign."""
+        if len(self.heads) > MEMORY:
+            self.heads.clear()
+        got = self.heads[head] = head in self.four or any(a == b for a, b in pairwise(head)) or any(c in FOREIGN for c in head)
+        return got
+
+    def candidates(self, low: str) -> list[str]:
+        """The tokens of a lower-case text that may carry a sign; the others carry none under any reading."""
+        out = []
+        heads = self.heads
+        for token in set(low.split()):
+            core = token if token.isalpha() else token.strip(OUTER)
+            if core.isalpha():
+                head = core[:4]
+                known = heads.get(head)
+                if not (self.open_head(head) if known is None else known):
+                    continue
+            if token in self.memory or self.could(core):
+                out.append(token)
+        return out
 
     def met(self, token: str) -> tuple[str, ...]:
         """The weighed signs of a token."""
@@ -250,12 +313,14 @@ class Toxicity:
         if got is None:
             if len(self.memory) > MEMORY:
                 self.memory.clear()
-            got = self.memory[token] = tuple(s for s in signs_of(self.restorer.restore(token)) if s in self.weights)
+            got = tuple(s for s in signs_of(self.restorer.restore(token)) if s in self.weights)
+            if len(token) <= 100:
+                self.memory[token] = got
         return got
 
     def score(self, text: str) -> float:
         low = text.lower()
-        met = {s for signs in map(self.met, set(low.split())) for s in signs}
+        met = {s for token in self.candidates(low) for s in self.met(token)}
         met.update(s for w in self.restorer.spread(low) for s in signs_of(w) if s in self.weights)
         total = self.bias + sum(self.weights[s] for s in sorted(met))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
@@ -271,7 +336,7 @@ def _presence(docs: DataFrame, restorer: Restorer) -> DataFrame:
                 words = [sorted({s for w in restorer.words(t) for s in signs_of(w)}) for t in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
-    return docs.mapInArrow(run, "doc_id long, toxic int, words array<string>")
+    return docs.mapInArrow(common.each(run), "doc_id long, toxic int, words array<string>")
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, prior: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -363,7 +428,7 @@ def scored(docs: DataFrame, model: Toxicity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.select("doc_id", held_out_fold().alias("held_out"), common.text_of().alias("text")).mapInArrow(run, RESULT)
+    return docs.select("doc_id", held_out_fold().alias("held_out"), common.text_of().alias("text")).mapInArrow(common.each(run), RESULT)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -383,4 +448,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(t or "") < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.each(run), schema)
