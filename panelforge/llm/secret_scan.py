@@ -184,18 +184,28 @@ def _step(acc: Column, x: Column, rule: Rule, order: int) -> Column:
     return F.struct(end.alias("at"), found.alias("found"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column secret_spans: (start, kind, end) in code points by start, then kind's number in rules."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: (start, kind, end) in code points by start, then kind's number in rules.
+
+    Candidates are met where the texts lie, as long as they are few enough to be broadcast; texts move only beyond that.
+    """
     every = (1 << len(rules)) - 1
     free = sum(1 << i for i, r in enumerate(rules) if trigram_query(r.pattern) is None)
     texts = docs.select("doc_id", common.text_of().alias("text"))
-    named = candidates(texts, rules).withColumnRenamed("doc_id", "_candidate_id").withColumnRenamed("rules", "_candidate_rules")
-    known = docs.filter("doc_id IS NOT NULL").join(named, F.col("doc_id") == F.col("_candidate_id"), "left")
-    known = known.withColumn("_candidate_rules", F.coalesce("_candidate_rules", F.lit(0)).bitwiseOR(F.lit(free))).drop("_candidate_id")
-    both = known.unionByName(docs.filter("doc_id IS NULL").withColumn("_candidate_rules", F.lit(every)))
+    id_, bits, spans = (_unused(c, docs.columns) for c in ("candidate_id", "candidate_rules", "secret_spans"))
+    named = common.small_side(candidates(texts, rules), "secret-candidates").withColumnRenamed("doc_id", id_).withColumnRenamed("rules", bits)
+    both = docs.join(named, F.col("doc_id") == F.col(id_), "left")
+    both = both.withColumn(bits, F.when(F.col("doc_id").isNull(), every).otherwise(F.coalesce(bits, F.lit(0)).bitwiseOR(F.lit(free)))).drop(id_)
     text, none = common.text_of(), F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    parts = [F.when(F.col("_candidate_rules").bitwiseAND(F.lit(1 << i)) != 0, _spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return both.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_candidate_rules")
+    parts = [F.when(F.col(bits).bitwiseAND(F.lit(1 << i)) != 0, _spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return both.withColumn(spans, F.array_sort(F.concat(*parts))).drop(bits), spans
+
+
+def _unused(name: str, taken: list[str]) -> str:
+    """name, or name with underscores in front where a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
 
 
 def told(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -206,8 +216,8 @@ def told(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = 3) -> DataFrame:
     """Per document the number of spans of each base kind, the digest of the base spans, and all spans."""
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rules)
-    spans = F.col("secret_spans")
+    found, name = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rules)
+    spans = F.col(name)
     kinds = F.transform(spans, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
     return found.select("doc_id", *counts, F.sha2(told(F.filter(spans, lambda s: s["kind"] < base), rules), 256).alias("base_sha256"), told(spans, rules).alias("spans"))
@@ -215,7 +225,7 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int =
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = CLEANING, mark: str = "[secret]") -> DataFrame:
     """docs with every found span replaced by a mark (overlapping spans by one), private keys with their bodies; texts without spans are unchanged."""
-    found = scan(docs, rules)
+    found, spans = scan(docs, rules)
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -223,5 +233,5 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = CLEANING, mark: str = "[
         piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
-    cleaned = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, cleaned).otherwise(text)).drop("secret_spans")
+    cleaned = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.size(spans) > 0, cleaned).otherwise(text)).drop(spans)
