@@ -61,7 +61,7 @@ def pack(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["chunk", "ids", "known", "lens", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(common.each(run), SCHEMA)
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,55 @@ def session_setup(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries give memory back by themselves
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused by later stages, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def each(run: Callable) -> Callable:
+    """A function of batches that releases memory when it is done."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
+
+
+def one(run: Callable) -> Callable:
+    """A function of a group that releases memory when it is done."""
+
+    def released(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return released
+
+
+def two(run: Callable) -> Callable:
+    """A function of two groups that releases memory when it is done."""
+
+    def released(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return released
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -62,6 +113,16 @@ def split_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None
     return usual.unionByName(big.join(F.broadcast(few), key))
 
 
+#: Rows of ids (some 40 bytes each in a hash table) that are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """df, stored and counted: marked for broadcast if it has BROADCAST_ROWS rows at most, else joined by a shuffle."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -187,7 +187,7 @@ def _pairs(docs: DataFrame, items: Items, n: int, least: float) -> DataFrame:
             ids = batch.column(0).to_pylist()
             yield common.arrow_table([(ids[o], items.ids[i], *rest) for (o, i), rest in best.items()], RESULT).to_batches(max_chunksize=None)[0] if best else pa.RecordBatch.from_pylist([], schema=common.arrow_table([], RESULT).schema)
 
-    return docs.mapInArrow(run, RESULT)
+    return docs.mapInArrow(common.each(run), RESULT)
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:

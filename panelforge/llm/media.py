@@ -149,7 +149,7 @@ def write_media(docs: DataFrame) -> DataFrame:
                 texts = batch.column(1).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_png(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, MEDIA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(common.each(run), MEDIA)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def media_features(media: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "phash"],
                 )
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, RESULT)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(common.each(run), RESULT)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def _runs(packed: DataFrame, buckets: int, width: int) -> DataFrame:
         rows = [(b, key, common.squeeze(planes(prints[i:j])), first[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return _table(rows, RUN)
 
-    return packed.groupBy("chunk").applyInArrow(run, RUN)
+    return packed.groupBy("chunk").applyInArrow(common.one(run), RUN)
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
@@ -95,7 +95,7 @@ def _merge(runs: DataFrame, history_wanted: bool) -> DataFrame:
             rows.append((1, bucket, -1, common.squeeze(planes(ordered[new])), checks[order[new]].tobytes()))
         return _table(rows, ddl)
 
-    return runs.groupBy("bucket").applyInArrow(run, ddl)
+    return runs.groupBy("bucket").applyInArrow(common.one(run), ddl)
 
 
 def _answer(packed: DataFrame, answers: DataFrame, buckets: int, width: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _answer(packed: DataFrame, answers: DataFrame, buckets: int, width: int) ->
             rows.append((int(chunk.ids[i]) if chunk.known[i] else None, hi - lo, n, hashlib.sha256(b" ".join(words)).hexdigest()))
         return _table(rows, RESULT)
 
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, RESULT)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(common.two(run), RESULT)
 
 
 def _windows_checks(chunk: chunks.Chunk, at: np.ndarray, width: int) -> np.ndarray:

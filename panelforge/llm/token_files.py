@@ -256,7 +256,7 @@ def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
             total += len(part)
         return common.arrow_table([(table.column("chunk")[0].as_py(), total, ids.tobytes(), known.tobytes(), write_file(np.concatenate(out), np.concatenate(ends)))], FILES)
 
-    return common.stored(packed.groupBy("chunk").applyInArrow(run, FILES), "token-files")
+    return common.stored(packed.groupBy("chunk").applyInArrow(common.one(run), FILES), "token-files")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -277,4 +277,4 @@ def read_shards(files: DataFrame) -> DataFrame:
                 doc = pa.array(np.frombuffer(ids.as_buffer(), np.int64), mask=~np.frombuffer(known.as_buffer(), bool))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(starts + before.as_py()), pa.array(ends - starts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("ids", "known", "file", "before").mapInArrow(run, RESULT)
+    return placed.select("ids", "known", "file", "before").mapInArrow(common.each(run), RESULT)
