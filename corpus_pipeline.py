@@ -4,13 +4,17 @@ Each stage gets what its predecessor kept, written as Parquet and read again. Do
 each group of near copies (five-word shingles, similarity 0.8 or more) one stays; documents that hold a benchmark item go;
 secrets are replaced by a mark; what is left is encoded and decoded. All stages but the last return the columns of
 documents, with n_chars following the text.
+
+Defined cases: rows with a null or empty text are kept by every stage (they hold nothing to reject) and have no tokens;
+rows without doc_id, and rows that share one, are judged each by its own text; further columns are kept, whatever their
+names; an empty table passes through.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import common
@@ -29,20 +33,34 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells rows apart, and its name.
+
+    It is doc_id where every row has its own. Where ids are missing or repeated, rows are numbered as they lie, in a stored
+    copy, so that a row is judged by its own text and not by another row's with the same id.
+    """
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row = "_" + row
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
+    return common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows"), row
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (of rows that share it, the first text)."""
-    groups = jaccard_components(docs, SHINGLE, PERCENT)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    shared = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
-    again = kept.join(shared, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy("lang", "source"))).filter("_row = 1 OR coalesce(text, '') = ''").drop("_row")
-    return kept.join(shared, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id (the first row, where ids are missing or repeated)."""
+    rows, row = numbered(docs)
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), SHINGLE, PERCENT)
+    gone = common.small_side(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(row)), "near-copies")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a benchmark item, edited or not."""
-    held = contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    held = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    return rows.join(common.small_side(held.select(F.col("doc_id").alias(row)).distinct(), "contaminated"), row, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
