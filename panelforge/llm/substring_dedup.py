@@ -1,10 +1,18 @@
 """Substring deduplication with a log-structured index of window fingerprints.
 
-Every window of WIDTH words has a 64-bit fingerprint and 16 checking bits from a second polynomial. Batches of documents
-in ascending doc_id become sorted immutable runs (one per chunk, distinct fingerprints only). A bucket of the value
-range merge-joins the runs of the new batch with the compacted runs of all earlier batches; an entry whose fingerprint
-was met in an earlier chunk is verified by the checking bits, and its chunk is told so with one bit. The merge also
-yields the compacted run that the next batch meets. So 80 bits must agree for a window to count as seen before.
+Every window of WIDTH words has a 64-bit fingerprint and 16 checking bits from a second polynomial. Documents come in
+batches of ascending doc_id, two at least. A batch's windows become sorted immutable runs (one per chunk, distinct
+fingerprints only). A bucket of the value range merge-joins them with the runs of all earlier batches: an entry whose
+fingerprint was met in an earlier chunk is verified by the checking bits, and its chunk is told so with one bit. Entries
+that no earlier batch had become the batch's own run of the index, so no entry is in two runs. Runs that cover equally
+many batches are compacted into one, so an entry is rewritten as often as the logarithm of the batches says, and a batch
+meets that many runs. Buckets are made by the bytes of all batches, so one task's share doesn't grow with the history.
+
+With a folder given as index, a call first meets the runs that earlier calls left there, as if their documents had smaller
+ids, and adds its own.
+
+80 bits must agree for a window to count as seen before. The words themselves aren't compared: among 1.5e13 windows
+(100 TB) some 90 windows would be taken for another by chance.
 
 Defined cases: a null text has no words; fewer than WIDTH words make no window; rows with equal doc_id do not remove each
 other's words; rows without doc_id count as larger than every id and not as smaller than each other; other columns are
@@ -25,7 +33,7 @@ from . import chunks, common
 from .wordhash import CHECK_BASE, gram_hashes, grams_within, planes, unplanes
 
 WIDTH = 13
-#: Text of one batch; a run of the operator takes two batches at least, so that history is met by a batch.
+#: Text of one batch; a call takes two batches at least, so that history is met by a batch.
 BATCH_BYTES = 256 << 30
 #: Share of the table that the first of only two batches takes: later batches are the larger ones.
 FIRST_SHARE = 0.2
@@ -67,7 +75,7 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
 
 
 def _merge(runs: DataFrame, history_wanted: bool) -> DataFrame:
-    """Rows (kind, bucket, chunk, prints, checks): kind 0 answers a chunk with a bit per entry in checks, kind 1 is the compacted run."""
+    """Rows (kind, bucket, chunk, prints, checks): kind 0 answers a chunk with a bit per entry in checks, kind 1 is what the index lacked."""
     ddl = "kind int, " + RUN
 
     def run(table: pa.Table) -> pa.Table:
@@ -92,12 +100,46 @@ def _merge(runs: DataFrame, history_wanted: bool) -> DataFrame:
                 rows.append((0, bucket, key, b"", common.squeeze(np.packbits(seen[at : at + n]).tobytes())))
             at += n
         if history_wanted:
-            rows.append((1, bucket, -1, common.squeeze(planes(ordered[new])), checks[order[new]].tobytes()))
+            source = np.repeat(np.array(keys) >= 0, sizes)
+            fresh = order[new & source[order]]
+            rows.append((1, bucket, -1, common.squeeze(planes(prints[fresh])), checks[fresh].tobytes()))
         return _table(rows, ddl)
 
     return runs.groupBy("bucket").applyInArrow(common.one(run), ddl)
 
 
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of run rows, sorted: fingerprints and checks."""
+    prints = np.concatenate([unplanes(common.unsqueeze(x.as_buffer().to_pybytes())) for x in table.column("prints")])
+    checks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("checks")])
+    order = np.argsort(prints, kind="stable")
+    return prints[order], checks[order]
+
+
+def _compacted(runs: DataFrame) -> DataFrame:
+    """Runs without common entries as one run."""
+
+    def run(table: pa.Table) -> pa.Table:
+        prints, checks = _entries(table)
+        return _table([(table.column("bucket")[0].as_py(), -1, common.squeeze(planes(prints)), checks.tobytes())], RUN)
+
+    return common.stored(runs.groupBy("bucket").applyInArrow(common.one(run), RUN), "window-index")
+
+
+def _rebucketed(runs: DataFrame, buckets: int) -> DataFrame:
+    """Runs of any bucketing, cut at this call's buckets."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                prints, checks = _entries(pa.Table.from_batches([batch.slice(i, 1)]))
+                cuts = chunks.bucket_cuts(prints, buckets)
+                rows = [(b, -1, common.squeeze(planes(prints[i:j])), checks[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                yield from _table(rows, RUN).to_batches()
+
+    return runs.select("bucket", "chunk", "prints", "checks").mapInArrow(common.each(run), RUN)
+
+
 def _answer(packed: DataFrame, answers: DataFrame, buckets: int, width: int) -> DataFrame:
     """Each document's counts and the digest of its kept words."""
 
@@ -137,34 +179,53 @@ def _windows_checks(chunk: chunks.Chunk, at: np.ndarray, width: int) -> np.ndarr
     return (gram_hashes(chunk.words, width, CHECK_BASE)[at] >> np.uint64(48)).astype(np.uint16)
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES, first_share: float = FIRST_SHARE) -> DataFrame:
-    """Per document: words, words removed, and the digest of the rest; see the module's text."""
-    common.session_setup(docs.sparkSession)
+def substring_dedup(docs: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES, first_share: float = FIRST_SHARE, index: str | None = None) -> DataFrame:
+    """Per document: words, words removed, and the digest of the rest; see the module's text.
+
+    index: a folder that executors share, with the runs of earlier calls; it is read before and added to, and must not be
+    written by two calls at once. It holds runs of one width.
+    """
+    spark = docs.sparkSession
+    common.session_setup(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = chunks.measure(docs)
+    size = chunks.measure(docs, least=2)
     bounds = size["bounds"]
     many = max(2, -(-size["bytes"] // batch_bytes))
-    buckets = chunks.buckets_for(min(size["bytes"], batch_bytes))
+    earlier = spark.read.schema("bytes long, " + RUN).parquet(index) if index and common.exists(spark, index) else None
+    told = earlier.agg(F.max("bytes")).first()[0] if earlier is not None else 0
+    buckets = chunks.buckets_for(size["bytes"] + (told or 0))
     shares = [first_share] if many == 2 else [i / many for i in range(1, many)]
-    cuts = sorted({int(bounds[int(s * len(bounds))]) for s in shares}) if len(bounds) > 1 else []
-    index, results = None, []
+    cuts = sorted({int(bounds[int(s * len(bounds))]) for s in shares}) if len(bounds) else []
+    number = sum((F.coalesce(F.col("doc_id") >= c, F.lit(True)).cast("int") for c in cuts), F.lit(0))
+    if many > 2:  # one pass deals the chunks to their batches
+        packed = chunks.pack(docs, bounds)
+        which = sum(((F.col("chunk") > int(np.searchsorted(bounds, c, "left"))).cast("int") for c in cuts), F.lit(0))
+        dealt = common.stored(packed.withColumn("batch", which), "packed-batches", ["batch"])
+    runs: list[tuple[int, DataFrame]] = [(1 << 30, _rebucketed(earlier, buckets))] if earlier is not None else []
+    results, own = [], []
     for i in range(len(cuts) + 1):
-        part = docs
-        if i:
-            part = part.filter((F.col("doc_id") >= cuts[i - 1]) | F.col("doc_id").isNull() if i == len(cuts) else F.col("doc_id") >= cuts[i - 1])
-        if i < len(cuts):
-            part = part.filter(F.col("doc_id") < cuts[i])
-        packed = chunks.pack(part, bounds)
-        runs = _runs(packed, buckets, width)
-        if index is not None:
-            runs = runs.unionByName(index)
-        merged = _merge(runs, i < len(cuts))
-        if i < len(cuts):
+        packed = dealt.filter(F.col("batch") == i).drop("batch") if many > 2 else chunks.pack(docs.filter(number == i), bounds)
+        met = _runs(packed, buckets, width)
+        for _, r in runs:
+            met = met.unionByName(r)
+        wanted = i < len(cuts) or index is not None
+        merged = _merge(met, wanted)
+        if wanted:
             merged = common.stored(merged, "window-index", ["kind"])
-            index = merged.filter("kind = 1").select("bucket", "chunk", "prints", "checks")
-        answers = merged.filter("kind = 0").select("bucket", "chunk", "checks")
-        results.append(_answer(packed, answers, buckets, width))
+            fresh = merged.filter("kind = 1").select("bucket", "chunk", "prints", "checks")
+            own.append(fresh)
+            runs.append((1, fresh))
+            while len(runs) > 1 and runs[-1][0] == runs[-2][0]:
+                (n, a), (_, b) = runs.pop(), runs.pop()
+                runs.append((2 * n, _compacted(a.unionByName(b))))
+        results.append(_answer(packed, merged.filter("kind = 0").select("bucket", "chunk", "checks"), buckets, width))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
+    if index is not None:
+        out = common.stored(out, "deduplicated")  # before the index says that these documents were met
+        left = own[0]
+        for r in own[1:]:
+            left = left.unionByName(r)
+        left.select(F.lit(size["bytes"] + (told or 0)).alias("bytes"), "bucket", "chunk", "prints", "checks").write.mode("append").option("compression", "zstd").parquet(index)
     return out

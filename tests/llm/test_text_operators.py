@@ -39,22 +39,55 @@ def small_chunks():
     chunks.CHUNK_BYTES = before
 
 
-def test_substring_dedup(spark):
-    texts = odd_texts()
+def brute_dedup(texts, width):
     words = [WORD.findall(t or "") for t in texts]
     first = {}
     for i, ws in enumerate(words):
-        for k in range(len(ws) - 3):
-            first.setdefault(tuple(ws[k : k + 4]), i)
+        for k in range(len(ws) - width + 1):
+            first.setdefault(tuple(ws[k : k + width]), i)
     want = {}
     for i, ws in enumerate(words):
-        gone = {p for k in range(len(ws) - 3) if first[tuple(ws[k : k + 4])] < i for p in range(k, k + 4)}
+        gone = {p for k in range(len(ws) - width + 1) if first[tuple(ws[k : k + width])] < i for p in range(k, k + width)}
         kept = " ".join(w for p, w in enumerate(ws) if p not in gone)
         want[i] = (len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(table(spark, texts), 4).collect()}
+    return want
+
+
+def deduped(frame):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in frame.collect()}
+
+
+def test_substring_dedup(spark):
+    texts = odd_texts()
+    assert deduped(substring_dedup.substring_dedup(table(spark, texts), 4)) == brute_dedup(texts, 4)
+
+
+def test_substring_dedup_in_many_batches(spark):
+    texts = odd_texts(120)
+    size = sum(len((t or "").encode()) for t in texts)
+    assert deduped(substring_dedup.substring_dedup(table(spark, texts), 4, batch_bytes=size // 5)) == brute_dedup(texts, 4)
+
+
+def test_substring_dedup_meets_the_index_of_an_earlier_run(spark, tmp_path):
+    texts = odd_texts(80)
+    want, index = brute_dedup(texts, 4), f"file://{tmp_path}/index"
+    got = {}
+    for lo, hi in ((0, 30), (30, 31), (31, len(texts))):
+        got |= deduped(substring_dedup.substring_dedup(table(spark, texts[lo:hi], list(range(lo, hi))), 4, index=index))
     assert got == want
 
 
+def test_small_tables_meet_an_index(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 8 << 20)
+    built = []
+    merge = substring_dedup._merge
+    monkeypatch.setattr(substring_dedup, "_merge", lambda runs, wanted: built.append(wanted) or merge(runs, wanted))
+    texts = odd_texts()
+    assert deduped(substring_dedup.substring_dedup(table(spark, texts), 4)) == brute_dedup(texts, 4)
+    assert built == [True, False]
+    assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
+
+
 def test_substring_dedup_odd_ids(spark):
     got = substring_dedup.substring_dedup(table(spark, ["a b c d", "a b c d", "a b c d", "a b c d"], [1, 1, None, None]), 3).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 0), (False, 0), (True, 4), (True, 4)]
@@ -196,14 +229,76 @@ def test_blocks_round_trip(n):
         assert np.array_equal(back, ids) and ends.tolist() == [n]
 
 
+def plain_png(data):
+    """The samples of a grey PNG file, read byte by byte."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, parts = 8, {}
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        parts.setdefault(kind, []).append(body)
+        at += 12 + n
+    wide, high = (int.from_bytes(parts[b"IHDR"][0][k : k + 4], "big") for k in (0, 4))
+    raw, rows, kinds = zlib.decompress(b"".join(parts[b"IDAT"])), [], set()
+    for y in range(high):
+        line = raw[y * (wide + 1) : (y + 1) * (wide + 1)]
+        kinds.add(line[0])
+        row = []
+        for x in range(wide):
+            a, b, c = row[x - 1] if x else 0, rows[-1][x] if y else 0, rows[-1][x - 1] if x and y else 0
+            near = min((a, abs(b - c), 0), (b, abs(a - c), 1), (c, abs(a + b - 2 * c), 2), key=lambda v: v[1:])[0]
+            row.append((line[1 + x] + (0, a, b, (a + b) // 2, near)[line[0]]) % 256)
+        rows.append(row)
+    return rows, kinds
+
+
+def plain_hash(rows):
+    """The look of an image by the definition: means of cells, a cosine transform by sums, bits against the median."""
+    high, side = len(rows), media.SIDE
+    cut = [y * high // side for y in range(side + 1)]
+    grid = [[0.0] * side for _ in range(side)]
+    for y in range(side):
+        lines = rows[cut[y] : cut[y + 1]] if high >= side else [rows[cut[y]]]
+        for x in range(side):
+            part = [v for line in lines for v in line[18 * x : 18 * x + 18]]
+            grid[y][x] = sum(part) / len(part)
+    low = []
+    for u in range(8):
+        for v in range(8):
+            low.append(round(sum(grid[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(side) for x in range(side)), 6))
+    rest = sorted(low[1:])
+    bits = "0" + "".join("1" if x > rest[31] else "0" for x in low[1:])
+    return f"{int(bits, 2):016x}"
+
+
 def test_media(spark):
-    texts = [None, "", "abc", "abc", "é" * 5000]
-    rows = {r.doc_id: r for r in media.media_columns(table(spark, texts)).collect()}
+    rng = random.Random(8)
+    prose = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(6000))
+    texts = [None, "", "abc", "abc", "é" * 5000, prose, "same line " * 2000]
+    docs = table(spark, texts)
+    rows = {r.doc_id: r for r in media.media_columns(docs).collect()}
+    files = {r.doc_id: bytes(r.media) for r in media.write_media(docs).collect()}
+    filters = set()
     for i, t in enumerate(texts):
         payload = media.payload_of((t or "").encode())
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(files[i]), hashlib.sha256(files[i]).hexdigest())
+        samples, kinds = plain_png(files[i])
+        filters |= kinds
+        assert bytes(v for line in samples for v in line) == payload and r.feature == plain_hash(samples)
+    assert filters >= {1, 2}
     assert rows[2].feature == rows[3].feature and rows[2].media_sha256 == rows[3].media_sha256
+    assert media.media_columns(table(spark, [])).count() == 0
+
+
+def test_average_and_paeth_in_runs():
+    rng = np.random.default_rng(2)
+    raw = rng.integers(0, 256, (40, 577), dtype=np.uint8)
+    raw[:, 0] = rng.integers(0, 5, 40)
+    data = media.SIGNATURE + media._chunk(b"IHDR", np.array([576, 40], ">u4").tobytes() + bytes([8, 0, 0, 0, 0])) + media._chunk(b"IDAT", zlib.compress(raw.tobytes())) + media._chunk(b"IEND", b"")
+    assert media.read_png(data).tolist() == plain_png(data)[0]
 
 
 def test_png_filters_and_damage():
