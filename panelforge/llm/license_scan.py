@@ -8,7 +8,9 @@ a licence file if its name says so, or if its best passage makes up FILE_SHARE o
 of its licence file (the first by path, if there are several). Files without their own take the licence of the nearest
 ancestor directory that has one: their directories are exploded without texts and joined to the licensed ones.
 
-IDF counts templates, so scores depend on no other file. Defined cases: a null or empty text has no licence of its own but
+IDF counts templates, so scores depend on no other file. Versions of one licence share their wording: a passage counts for
+a version only if it holds the version's number. A passage is judged in time linear in its words (but for a sort), however
+long a line is. Defined cases: a null or empty text has no licence of its own but
 inherits; a null path has no directories; equal scores go to the earlier template; rows with equal paths are judged each;
 other columns are ignored; no rows give no rows.
 """
@@ -36,6 +38,7 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -47,6 +50,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "Copyright, all rights reserved"),
 )
+#: Licences whose versions share their wording, so a passage must hold the version's number.
+VERSIONS = {"GPL-3.0": "3", "GPL-2.0": "2", "LGPL-3.0": "3", "AGPL-3.0": "3"}
 #: A passage holds one of these.
 TRADE = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|spdx"
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
@@ -93,28 +98,55 @@ def _literal_map(values: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _of_version(words: Column, name: Column) -> Column:
+    """Whether words hold the number that a licence's name calls for, if any."""
+    return F.coalesce(F.array_contains(words, _literal_map(VERSIONS)[name]), F.lit(True))
+
+
+def _squares(words: Column) -> Column:
+    """The sum of squared frequencies, from the runs of the sorted words: linear but for the sort."""
+    step = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
+
+    def add(s: Column, w: Column) -> Column:
+        same = s["w"] == w
+        return F.struct(w.alias("w"), F.when(same, s["n"] + 1).otherwise(1.0).alias("n"), (s["total"] + F.when(same, 2 * s["n"] + 1).otherwise(1.0)).alias("total"))
+
+    return F.aggregate(F.array_sort(words), step, add, lambda s: s["total"])
+
+
 def best_passage(text: Column) -> Column:
     """(score, -template, words) of the text's best passage, null without passages."""
     vectors, idf, other = template_vectors()
     weight = _literal_map(idf)
-    templates = F.array(*(_literal_map(v) for v in vectors))
+    vocabulary = F.array(*(F.lit(w) for w in idf))
+    templates = F.array(*(F.struct(_literal_map(v).alias("v"), F.lit(n).alias("name")) for v, (n, _) in zip(vectors, TEMPLATES, strict=True)))
+
+    def of_words(words: Column) -> Column:
+        known = F.filter(words, lambda w: F.array_contains(vocabulary, w))
+        # as many terms as the templates have words, at most, however long the passage
+        terms = _let(known, lambda ks: F.transform(F.array_distinct(ks), lambda w: F.struct(w.alias("w"), ((F.size(ks) - F.size(F.array_remove(ks, w))) * weight[w]).alias("v"))))
+        strange = _squares(F.filter(words, lambda w: ~F.array_contains(vocabulary, w))) * (other * other)
+        norm = _let(terms, lambda ts: F.sqrt(strange + F.aggregate(ts, F.lit(0.0), lambda s, t: s + t["v"] * t["v"])))
+
+        def scored(x: Column) -> Column:
+            met = F.transform(templates, lambda m, i: F.struct(F.round(F.try_divide(F.aggregate(x["terms"], F.lit(0.0), lambda s, t: s + t["v"] * F.coalesce(m["v"][t["w"]], F.lit(0.0))), x["norm"]), 6).alias("score"), (-i).alias("order"), F.size(words).alias("words"), m["name"].alias("name")))
+            best = F.array_max(F.transform(F.filter(met, lambda m: _of_version(words, m["name"])), lambda m: F.struct(m["score"].alias("score"), m["order"].alias("order"), m["words"].alias("words"))))
+            return best
+
+        return _let(F.struct(terms.alias("terms"), norm.alias("norm")), scored)
 
     def judged(passage: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(passage), F.lit(WORD), F.lit(0))
-        terms = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(weight[w], F.lit(other))).alias("v")))
-        norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["v"] * t["v"]))
-        scores = F.transform(templates, lambda m, i: F.struct(F.round(F.try_divide(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["v"] * F.coalesce(m[t["w"]], F.lit(0.0))), norm), 6).alias("score"), (-i).alias("order"), F.size(words).alias("words")))
-        return F.array_max(scores)
+        return _let(F.regexp_extract_all(F.lower(passage), F.lit(WORD), F.lit(0)), of_words)
 
     passages = F.filter(F.split(text, "\n"), lambda p: F.rlike(p, F.lit(TRADE)))
     return F.when(F.rlike(text, F.lit(TRADE)), F.array_max(F.transform(passages, judged)))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _first(name: str) -> int:
     return next(i for i, (n, _) in enumerate(TEMPLATES) if n == name)
 
@@ -147,7 +179,8 @@ def _windowed(words: Column) -> Column:
             return F.round(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["v"] * F.coalesce(vector[t["w"]], F.lit(0.0))) / norm, 6)
 
         terms = F.transform(F.array_distinct(window), lambda w: F.struct(w.alias("w"), (F.size(F.filter(window, lambda x: x == w)) * F.coalesce(weight[w], F.lit(other))).alias("v")))
-        return F.struct(_let(terms, score).alias("score"), (-i).alias("order"), F.size(window).alias("words"))
+        of = _of_version(window, F.element_at(F.array(*(F.lit(n) for n, _ in TEMPLATES)), i + 1))
+        return F.struct(F.when(of, _let(terms, score)).alias("score"), (-i).alias("order"), F.size(window).alias("words"))
 
     def over(at: Column) -> Column:
         return F.array_max(F.transform(places, lambda p: _let(F.slice(words, F.greatest(F.lit(1), at - p["o"]), p["n"]), lambda window: judged(window, p["i"]))))
@@ -194,5 +227,7 @@ def licensed(files: DataFrame) -> DataFrame:
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """documents as files: source/language/hundred/id."""
-    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")).alias("path"), "text")
+    """documents as files in directories of one to five levels: source/language, then up to three decimal parts of the id."""
+    deep = F.pmod(F.col("doc_id"), F.lit(4))
+    parts = [F.when(deep > k, F.floor(F.col("doc_id") / size).cast("string")) for k, size in enumerate((10_000, 1000, 100))]
+    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), *parts, F.col("doc_id").cast("string")).alias("path"), "text")

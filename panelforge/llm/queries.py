@@ -104,29 +104,33 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
 def _license_sql() -> str:
     """Passages and their words as rows, joined to the templates' vectors."""
-    from .license_scan import FILE_SHARE, LEAST, TEMPLATES, TRADE, template_vectors
+    from .license_scan import FILE_SHARE, LEAST, TEMPLATES, TRADE, VERSIONS, template_vectors
 
     vectors, idf, other = template_vectors()
     trade = TRADE.removeprefix("(?i)")
     vector_rows = ", ".join(f"({i}, '{w}', {x})" for i, v in enumerate(vectors) for w, x in v.items())
     idf_rows = ", ".join(f"('{w}', {x})" for w, x in idf.items())
-    name_rows = ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(TEMPLATES))
+    name_rows = ", ".join(f"({i}, '{n}', {f"'{VERSIONS[n]}'" if n in VERSIONS else 'NULL'})" for i, (n, _) in enumerate(TEMPLATES))
     return f"""
-WITH v(i, w, x) AS (VALUES {vector_rows}), f(w, x) AS (VALUES {idf_rows}), n(i, name) AS (VALUES {name_rows}),
-d AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) AS home, coalesce(text, '') AS t FROM documents),
+WITH v(i, w, x) AS (VALUES {vector_rows}), f(w, x) AS (VALUES {idf_rows}), n(i, name, version) AS (VALUES {name_rows}),
+d AS (SELECT doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), CASE WHEN doc_id % 4 > 0 THEN CAST(floor(doc_id / 10000) AS BIGINT) END, CASE WHEN doc_id % 4 > 1 THEN CAST(floor(doc_id / 1000) AS BIGINT) END, CASE WHEN doc_id % 4 > 2 THEN CAST(floor(doc_id / 100) AS BIGINT) END) AS home, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, t, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line FROM (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM d WHERE regexp_matches(t, '{trade}', 'i'))),
 p AS (SELECT doc_id, k, regexp_extract_all(lower(line), '[a-z0-9]+') AS ws FROM l WHERE regexp_matches(line, '{trade}', 'i')),
 u AS (SELECT doc_id, k, len(ws) AS words, unnest(ws) AS w FROM p),
 q AS (SELECT u.doc_id, k, words, u.w, count(*) * coalesce(any_value(f.x), {other}) AS x FROM u LEFT JOIN f ON f.w = u.w GROUP BY u.doc_id, k, words, u.w),
 z AS (SELECT doc_id, k, sqrt(sum(x * x)) AS norm FROM q GROUP BY doc_id, k),
 c AS (SELECT q.doc_id, q.k, words, v.i, round(sum(q.x * v.x) / any_value(norm), 6) AS score FROM q JOIN z ON z.doc_id = q.doc_id AND z.k = q.k JOIN v ON v.w = q.w GROUP BY q.doc_id, q.k, words, v.i),
-b AS (SELECT doc_id, score, i, words FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, words DESC) = 1),
+ok AS (SELECT c.* FROM c JOIN n ON n.i = c.i WHERE version IS NULL OR EXISTS (SELECT 1 FROM q WHERE q.doc_id = c.doc_id AND q.k = c.k AND q.w = version)),
+b AS (SELECT doc_id, score, i, words FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, words DESC) = 1),
 o AS (SELECT d.doc_id, home, home || '/' || CAST(d.doc_id AS VARCHAR) AS path, name, score, words >= {FILE_SHARE} * len(regexp_split_to_array(trim(t, ' '), '[ \t\n\x0B\f\r]+')) AS is_file
       FROM d LEFT JOIN (SELECT * FROM b WHERE score >= {LEAST}) AS b ON b.doc_id = d.doc_id LEFT JOIN n ON n.i = b.i),
-g AS (SELECT home, name FROM o WHERE name IS NOT NULL AND is_file QUALIFY row_number() OVER (PARTITION BY home ORDER BY path, name) = 1)
-SELECT o.doc_id, o.path, coalesce(o.name, g.name) AS license, CASE WHEN o.name IS NOT NULL THEN 'own' WHEN g.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, o.score,
-  CASE WHEN o.name IS NULL AND g.name IS NOT NULL THEN g.home END AS license_dir
-FROM o LEFT JOIN g ON g.home = o.home"""
+g AS (SELECT home, name FROM o WHERE name IS NOT NULL AND is_file QUALIFY row_number() OVER (PARTITION BY home ORDER BY path, name) = 1),
+h AS (SELECT DISTINCT home FROM o),
+up AS (SELECT home, k, array_to_string(string_split(home, '/')[1:k], '/') AS above FROM (SELECT home, unnest(range(0, len(string_split(home, '/')) + 1)) AS k FROM h)),
+near AS (SELECT up.home, g.name, g.home AS at FROM up JOIN g ON g.home = up.above QUALIFY row_number() OVER (PARTITION BY up.home ORDER BY k DESC) = 1)
+SELECT o.doc_id, o.path, coalesce(o.name, near.name) AS license, CASE WHEN o.name IS NOT NULL THEN 'own' WHEN near.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, o.score,
+  CASE WHEN o.name IS NULL AND near.name IS NOT NULL THEN near.at END AS license_dir
+FROM o LEFT JOIN near ON near.home = o.home"""
 
 
 SQL = {
