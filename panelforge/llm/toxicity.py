@@ -42,6 +42,8 @@ PRIOR = 0.7
 #: Frequent words that a reading may be, at most.
 LEXICON = 20_000
 BEAM = 24
+#: Of a token with more letters than any known word, so many signs are read: longer than any beginning that is weighed.
+HEAD = 64
 #: Signs of a spaced-out word inside a longer run of single signs, at most: longer than the known words.
 SPREAD = 20
 #: Tokens a worker remembers: a bound on its memory alone, not on what is read.
@@ -119,6 +121,7 @@ class Restorer:
 
     def __post_init__(self) -> None:
         self.most = max(self.lexicon.values(), default=1)
+        self.longest = max(map(len, self.lexicon), default=0)
         self.memory: dict[str, str] = {}
 
     def read(self, token: str) -> str:
@@ -156,6 +159,9 @@ class Restorer:
             traced = not core.isalpha() or TRACES.match(core) or (not core.isascii() and MIXED.match(core))
             if plain in self.lexicon or len(core) < 3 or not (self.disguised(core) if traced else DOUBLED.search(core)):
                 got = plain
+            elif len(core) > HEAD and self.fewest(core) > self.longest:
+                # too many letters for a known word, so what it can carry are beginnings
+                got = self.read(RUN.sub(r"\1\1\1", core[:HEAD])) if traced and self.lettered(core) else plain
             else:
                 got = self.read(RUN.sub(r"\1\1\1", core))
                 if got not in self.lexicon and not (traced and self.lettered(core)):
@@ -166,6 +172,11 @@ class Restorer:
                 self.memory[token] = got
         return got
 
+    @staticmethod
+    def fewest(core: str) -> int:
+        """Letters that every reading of a token has, at least."""
+        return sum(a != b and b.isalpha() for a, b in pairwise("\0" + core))
+
     def disguised(self, core: str) -> bool:
         """Whether a token may hide a word: letters, or signs that look like letters, make up at least half of it."""
         letters = sum(c.isalpha() for c in core)
