@@ -36,20 +36,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column that tells rows apart, and its name.
 
-    It is doc_id where every row has its own. Where ids are missing or repeated, rows are numbered as they lie, in a stored
-    copy, so that a row is judged by its own text and not by another row's with the same id.
+    It is doc_id where a row has its own. Rows without an id, and rows that share one, are numbered above all ids in a
+    stored copy, so that each is judged by its own text.
     """
     row = "row"
     while row in {c.lower() for c in docs.columns}:
         row = "_" + row
-    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    id_ = F.col("doc_id").cast("long")
+    rows, ids, top = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.max(id_)).first()
     if rows == ids:
-        return docs.withColumn(row, F.col("doc_id").cast("long")), row
-    return common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows"), row
+        return docs.withColumn(row, id_), row
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"{row}s")).filter(F.col(f"{row}s") > 1)
+    above = F.lit(max(top or 0, 0) + 1) + F.monotonically_increasing_id()
+    told = docs.join(shared, "doc_id", "left").withColumn(row, F.when(F.col("doc_id").isNull() | F.col(f"{row}s").isNotNull(), above).otherwise(id_))
+    return common.stored(told.select(*docs.columns, row), "numbered-rows"), row
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (the first row, where ids are missing or repeated)."""
+    """One document of each group of near copies: the one with the smallest id (rows without an id, or with a shared one, come after those)."""
     rows, row = numbered(docs)
     groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), SHINGLE, PERCENT)
     gone = common.small_side(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(row)), "near-copies")
