@@ -8,9 +8,11 @@
 4. Star pairs first: each member against its group's centre, each group against one centre for a shingle: the one with
    the fewest rarer shingles (of a family of edited copies the nearest to their source), and one drawn by chance.
    Verified links join nodes into components.
-5. Group pairs that aren't yet wholly in one component are filtered by size, by the shingle's place and by
-   bitmaps of their shingles, expanded into members of different components and verified. So each candidate pair is verified, or its two documents are known to be connected, and
-   no group of copies is expanded into all its pairs.
+5. Group pairs that aren't yet wholly in one component are filtered by size, by the shingle's place and by bitmaps of
+   their shingles and expanded into members of different components. Of the pairs between two components a few are
+   verified in a round, ever more of them in later rounds; once two components are found to be one, their other pairs
+   are settled. So each candidate pair is verified, or its two documents are known to be connected, and no group of
+   copies is expanded into all its pairs.
 
 Defined cases: words are lower-cased in A-Z only; fewer than n words give one shingle, none give the empty set, which is
 linked with nothing; a null text is empty; rows with equal texts are linked whatever their doc_id; a null doc_id is no
@@ -108,7 +110,7 @@ def _runs(packed: DataFrame, buckets: int, n: int, width: int) -> DataFrame:
         rows = [(b, key, width, _planes(prints[i:j], width), common.squeeze(counts[i:j].astype(np.uint32).tobytes())) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return common.arrow_table(rows, RUN)
 
-    return packed.groupBy("chunk").applyInArrow(run, RUN)
+    return packed.groupBy("chunk").applyInArrow(common.one(run), RUN)
 
 
 def _count(runs: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def _count(runs: DataFrame) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         return common.arrow_table([(bucket, key, common.squeeze(levels[e - s : e].tobytes())) for key, s, e in zip(table.column("chunk").to_pylist(), sizes, ends, strict=True)], ddl)
 
-    return runs.groupBy("bucket").applyInArrow(run, ddl)
+    return runs.groupBy("bucket").applyInArrow(common.one(run), ddl)
 
 
 def _bitmaps(rank: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
@@ -200,11 +202,11 @@ def _signatures(packed: DataFrame, counted: DataFrame, buckets: int, n: int, per
         del entry
         return _signature_table(chunk, doc, values, level, percent)
 
-    return packed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, SIGNATURE)
+    return packed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(common.two(run), SIGNATURE)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of node keys, those above the threshold, as pairs of _name()s; the sets are compared whole."""
+    """Of the pairs (a, b, ..) of node keys, those above the threshold, with _name()s beside; the sets are compared whole."""
 
     @F.pandas_udf("long")
     def common_shingles(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -213,7 +215,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = nodes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), _name().alias("named_a"))
     right = nodes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), _name().alias("named_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("met", common_shingles("sa", "sb"))
-    return both.filter(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met"))).select(F.col("named_a").alias("a"), F.col("named_b").alias("b"))
+    return both.filter(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met"))).select(*pairs.columns, "named_a", "named_b")
 
 
 def _name() -> Column:
@@ -221,6 +223,29 @@ def _name() -> Column:
     return F.struct(F.col("low").isNull().alias("none"), F.coalesce("low", F.lit(0)).alias("low"), F.col("key").alias("key"))
 
 
+def _settled(wide: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between components from candidate pairs (a, b, cx, cy) of nodes in components cx < cy; None without any.
+
+    A round verifies one pair from each of some hash classes of each two components, then forgets the pairs of components
+    that have become one; classes grow eightfold, so rounds grow with the logarithm of the pairs between two components.
+    """
+    left, links, classes = common.stored(wide, "shingle-pairs"), None, 1
+    while not left.isEmpty():
+        chance = F.xxhash64("a", "b")
+        drawn = left.groupBy("cx", "cy", F.pmod(chance, F.lit(classes)).alias("class")).agg(F.min(F.struct(chance.alias("chance"), "a", "b")).alias("one"))
+        drawn = common.stored(drawn.select("one.a", "one.b", "cx", "cy"), "shingle-drawn")
+        found = common.stored(_verified(drawn, nodes, percent).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct(), "shingle-links")
+        links = found if links is None else links.union(found)
+        comps = connected(found)
+        left = left.join(drawn.select("a", "b"), ["a", "b"], "left_anti")
+        for c in ("cx", "cy"):
+            named = left.select(c).distinct().join(comps.select(F.col("key").alias(c), "comp"), c, "left").select(c, F.coalesce("comp", c).alias("now"))
+            left = common.split_join(common.stored(left, "shingle-pairs"), named, c).drop(c).withColumnRenamed("now", c)
+        left = left.filter("cx <> cy").select("a", "b", F.least("cx", "cy").alias("cx"), F.greatest("cx", "cy").alias("cy"))
+        left, classes = common.stored(left, "shingle-pairs"), classes * 8
+    return links
+
+
 def _may_link(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
     """Whether sizes, and places of a shared shingle, allow the threshold if no rarer shingle is shared.
 
@@ -272,10 +297,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
         hub = hub.select("token", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.place").alias("hp"))
         met = posts.join(hub, "token").filter((F.col("g") != F.col("h")) & _may_link(F.col("n"), F.col("place"), F.col("hn"), F.col("hp"), percent))
         pairs = pairs.union(met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")))
-    links = common.stored(_verified(pairs.distinct(), nodes, percent), "shingle-links")
+    links = common.stored(_verified(pairs.distinct(), nodes, percent).select(F.col("named_a").alias("a"), F.col("named_b").alias("b")), "shingle-links")
     comps = connected(links)
 
-    placed = members.join(comps.select("key.key", F.col("comp.key").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    placed = members.join(comps.select("key.key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", _name()))
     placed = common.stored(placed, "shingle-placed")
     span = placed.groupBy(F.col("centre").alias("g")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     posted = posts.join(span, "g")
@@ -293,10 +318,14 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
     own = ["n", "held", *(f"bits{i}" for i in range(PARTS))]
     a, b = (placed.select(F.col("centre").alias(f"g{s}"), F.col("key").alias(k), F.col("comp").alias(f"c{s}"), *(F.col(c).alias(c + s) for c in own)) for s, k in (("x", "a"), ("y", "b")))
     wide = met.join(a, "gx").join(b, "gy").filter((F.col("cx") != F.col("cy")) & ((F.col("gx") != F.col("gy")) | (F.col("a") < F.col("b"))) & _maps_fit(percent, "bits", "bits"))
-    wide = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = common.stored(_verified(wide, nodes, percent), "shingle-links")
-    comps = connected(links.union(more)) if not more.isEmpty() else comps
-
-    least = F.when(~F.col("comp.none"), F.col("comp.low"))
-    ends = members.select("key", "low").join(comps.select("key.key", "comp"), "key", "left").select(F.col("key").alias("set_key"), F.when(F.col("comp").isNull(), F.col("low")).otherwise(least).alias("component_id"))
+    turned = F.col("cx") > F.col("cy")
+    x, y = (F.struct(F.col(k).alias("node"), F.col(c).alias("comp")) for k, c in (("a", "cx"), ("b", "cy")))
+    wide = wide.select(F.when(turned, y).otherwise(x).alias("x"), F.when(turned, x).otherwise(y).alias("y")).distinct()
+    more = _settled(wide.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy")), nodes, percent)
+
+    ends = placed.select(F.col("key").alias("set_key"), "comp")
+    if more is not None:
+        named = ends.select("comp").distinct().join(connected(more).select(F.col("key").alias("comp"), F.col("comp").alias("whole")), "comp", "left").select("comp", F.coalesce("whole", "comp").alias("whole"))
+        ends = common.split_join(common.stored(ends, "shingle-ends"), named, "comp").select("set_key", F.col("whole").alias("comp"))
+    ends = ends.select("set_key", F.when(~F.col("comp.none"), F.col("comp.low")).alias("component_id"))
     return common.split_join(rest.select("doc_id", "n_shingles", "set_key"), ends, "set_key").select("doc_id", "n_shingles", "component_id").union(alone)
