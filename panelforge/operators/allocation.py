@@ -55,7 +55,8 @@ def allocations(train: DataFrame, configs: dict[str, K.Params], allocator: Calla
 
 
 def kernel_books(train: DataFrame, book: str) -> DataFrame:
-    """Sample books that need dense algebra: "risk_parity", "minimum_variance", "max_diversification", "random".
+    """Sample books that need dense algebra: "risk_parity", "minimum_variance", "hierarchical", "max_diversification",
+    "shrunk_minimum_variance", "denoised_minimum_variance", "nested_clusters", "random".
 
     Rows (fold_id, asset, asset_idx, w, defined): not defined, with null weights, where the sample covariance isn't of full rank.
     """
@@ -74,6 +75,15 @@ def kernel_books(train: DataFrame, book: str) -> DataFrame:
                 elif book == "minimum_variance":
                     s = K.minimum_variance(c)
                     w = s.w if s.gap <= 1e-6 else w
+                elif book == "hierarchical":
+                    w = K.tree_weights(c)
+                elif book == "shrunk_minimum_variance":
+                    w = K.minimum_variance(K.shrunk(x)[0]).w
+                elif book == "denoised_minimum_variance":
+                    sd = np.sqrt(np.diag(c))
+                    w = K.minimum_variance(K.denoised(c / np.outer(sd, sd), len(x)) * np.outer(sd, sd)).w
+                elif book == "nested_clusters":
+                    w = K.nested_clusters(c)
                 elif book == "max_diversification":
                     sd = np.sqrt(np.diag(c))
                     s = K.minimum_variance(c / np.outer(sd, sd))
@@ -87,6 +97,43 @@ def kernel_books(train: DataFrame, book: str) -> DataFrame:
     return train.select("fold_id", "row_idx", "asset", "asset_idx", "ret").groupBy("fold_id").applyInPandas(run, "fold_id int, asset string, asset_idx int, w double, defined boolean")
 
 
+def anchored_books(train: DataFrame, penalty: float) -> DataFrame:
+    """Rows (fold_id, asset, asset_idx, w, objective, certified): least relative objective on the sample covariance, the inverse-volatility book as anchor."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, assets = matrix(rows)
+        c = np.cov(x, rowvar=False)
+        sd = np.sqrt(np.diag(c))
+        found = K.solve(c, (1 / sd) / (1 / sd).sum(), penalty)
+        return assets.assign(fold_id=key[0], w=found.w, objective=found.objective, certified=found.converged)[["fold_id", "asset", "asset_idx", "w", "objective", "certified"]]
+
+    return train.select("fold_id", "row_idx", "asset", "asset_idx", "ret").groupBy("fold_id").applyInPandas(run, "fold_id int, asset string, asset_idx int, w double, objective double, certified boolean")
+
+
+def linkage(train: DataFrame) -> DataFrame:
+    """Rows (fold_id, step, height, size): merges of the single-linkage tree on correlation distance."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, _ = matrix(rows)
+        merges = K.single_linkage(K.correlation_distance(np.cov(x, rowvar=False)))
+        return pd.DataFrame({"fold_id": key[0], "step": range(len(merges)), "height": [m[2] for m in merges], "size": [m[3] for m in merges]})
+
+    return train.select("fold_id", "row_idx", "asset", "asset_idx", "ret").groupBy("fold_id").applyInPandas(run, "fold_id int, step int, height double, size int")
+
+
+def two_speed_covariances(train: DataFrame, half_life: float, recent_mix: float) -> DataFrame:
+    """Rows (fold_id, i, j, c) of the blended covariance of each window, in units of its median variance."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, assets = matrix(rows)
+        c = K.two_speed(x, half_life, recent_mix)
+        i, j = np.triu_indices(len(c))
+        idx = assets["asset_idx"].to_numpy()
+        return pd.DataFrame({"fold_id": key[0], "i": idx[i], "j": idx[j], "c": c[i, j]})
+
+    return train.select("fold_id", "row_idx", "asset", "asset_idx", "ret").groupBy("fold_id").applyInPandas(run, "fold_id int, i int, j int, c double")
+
+
 def denoised_correlations(train: DataFrame) -> DataFrame:
     """Rows (fold_id, i, j, corr, denoised) of each fold's sample correlation and what is left of it without noise."""
 

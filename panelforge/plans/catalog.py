@@ -755,14 +755,124 @@ def _(spark, d):
     return allocation.allocations(Base(spark, d).train, {"ivp": K.Params(method="inverse_volatility", legacy=True), "minvar": K.Params(method="minimum_variance", legacy=True, cap_names=2.0)})
 
 
-@query("erc_book")
+#: Sample covariances as lists by fold, for iterations in SQL: cm[i][j], assets counted from 1.
+LISTS = {
+    "cv2": "SELECT a.fold_id, a.asset_idx AS i, b.asset_idx AS j, covar_samp(a.ret, b.ret) AS c FROM tr AS a JOIN tr AS b ON a.fold_id = b.fold_id AND a.row_idx = b.row_idx GROUP BY 1, 2, 3",
+    "cr": "SELECT fold_id, i, list(c ORDER BY j) AS row FROM cv2 GROUP BY fold_id, i",
+    "cm": "SELECT fold_id, list(row ORDER BY i) AS cm, len(list(i)) AS n, list(row[i + 1] ORDER BY i) AS dg FROM cr GROUP BY fold_id",
+}
+#: The nearest point of the simplex to list z: the largest level that leaves a positive part.
+_SIMPLEX = """list_transform(z, lambda v: greatest(0.0, v - list_max(list_transform(range(1, len(z) + 1), lambda k: (list_sum(list_reverse_sort(z)[1:k]) - 1) / k))))"""
+
+
+def _descent(value_step: str, source: str, rounds: int) -> str:
+    """Accelerated projected gradients on the simplex from equal weights, written with lists."""
+    return f"""SELECT fold_id, 0 AS k, list_transform(range(1, n + 1), lambda i: 1.0::DOUBLE / n) AS x, list_transform(range(1, n + 1), lambda i: 1.0::DOUBLE / n) AS y FROM {source}
+  UNION ALL SELECT fold_id, k + 1, new, list_transform(range(1, len(new) + 1), lambda i: new[i] + (k / (k + 3.0)) * (new[i] - x[i])) FROM (
+    SELECT fold_id, k, x, {_SIMPLEX} AS new FROM (SELECT gd.fold_id, k, x, {value_step} AS z FROM gd JOIN {source} ON gd.fold_id = {source}.fold_id WHERE k < {rounds}))"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "erc_book",
+    _recursive(
+        sql(
+            f"SELECT fold_id, asset, asset_idx, {r('x[asset_idx + 1] / list_sum(x) AS w')}, true AS defined FROM (SELECT * FROM pt WHERE k = 1500) JOIN ai ON true",
+            **LISTS,
+            # each asset halfway to the root of its own equation, all at once: only equal contributions stay in place
+            pt="SELECT fold_id, 0 AS k, list_transform(dg, lambda v: 1 / sqrt(n * v)) AS x FROM cm UNION ALL SELECT pt.fold_id, k + 1, list_transform(range(1, n + 1), lambda i: x[i] / 2 + (sqrt(pow(list_inner_product(cm[i], x) - dg[i] * x[i], 2) + 4 * dg[i] / n) - (list_inner_product(cm[i], x) - dg[i] * x[i])) / (4 * dg[i])) FROM pt JOIN cm ON pt.fold_id = cm.fold_id WHERE k < 1500",
+        )
+    ),
+)
 def _(spark, d):
     return allocation.kernel_books(Base(spark, d).train, "risk_parity")
 
 
-@query("scm_gmvp_book")
+@query(
+    "scm_gmvp_book",
+    _recursive(
+        sql(
+            f"SELECT fold_id, asset, asset_idx, {r('x[asset_idx + 1] AS w')}, true AS defined FROM (SELECT * FROM gd WHERE k = 4000) JOIN ai ON true",
+            "flag",
+            **LISTS,
+            cs="SELECT cm.fold_id, cm, n, list_max(list_transform(cm, lambda row: list_sum(list_transform(row, lambda v: abs(v))))) AS top FROM cm",
+            gd=_descent("list_transform(range(1, n + 1), lambda i: y[i] - list_inner_product(cm[i], y) / top)", "cs", 4000),
+        )
+    ),
+)
+def _(spark, d):
+    return allocation.kernel_books(Base(spark, d, "flag").train, "minimum_variance")
+
+
+@query(
+    "anchored_qp",
+    _recursive(
+        sql(
+            f"SELECT fold_id, asset, asset_idx, {r('x[asset_idx + 1] AS w', 'list_inner_product(list_transform(qm, lambda row: list_inner_product(row, x)), x) - 2 * list_inner_product(q, x) + 1.0 AS objective')}, true AS certified FROM (SELECT gd.*, qm, q FROM gd JOIN cs ON gd.fold_id = cs.fold_id WHERE k = 3000) JOIN ai ON true",
+            **LISTS,
+            ab="SELECT fold_id, cm, n, list_transform(dg, lambda v: (1 / sqrt(v)) / list_sum(list_transform(dg, lambda u: 1 / sqrt(u)))) AS b FROM cm",
+            ac="SELECT *, list_inner_product(list_transform(cm, lambda row: list_inner_product(row, b)), b) AS risk, list_inner_product(b, b) AS size FROM ab",
+            aq="SELECT fold_id, n, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: cm[i][j] / risk + CASE WHEN i = j THEN 1.0 / size ELSE 0 END)) AS qm, list_transform(b, lambda v: v / size) AS q FROM ac",
+            cs="SELECT *, list_max(list_transform(qm, lambda row: list_sum(list_transform(row, lambda v: abs(v))))) AS top FROM aq",
+            gd=_descent("list_transform(range(1, n + 1), lambda i: y[i] - (list_inner_product(qm[i], y) - q[i]) / top)", "cs", 3000),
+        )
+    ),
+)
+def _(spark, d):
+    return allocation.anchored_books(Base(spark, d).train, 1.0)
+
+
+#: Kruskal's merges by fold: lb holds each asset's cluster; l and r are the two clusters of a merge.
+KRUSKAL = {
+    "dt": "SELECT a.fold_id, a.i, a.j, sqrt(greatest(0, (1 - a.c / sqrt(x.c * y.c)) / 2)) AS d FROM cv2 AS a JOIN cv2 AS x ON x.fold_id = a.fold_id AND x.i = a.i AND x.j = a.i JOIN cv2 AS y ON y.fold_id = a.fold_id AND y.i = a.j AND y.j = a.j WHERE a.i < a.j",
+    "kr": """SELECT fold_id, 0 AS k, range(0, n) AS lb, 0.0::DOUBLE AS height, 0::BIGINT AS l, 0::BIGINT AS r, range(0, n) AS was FROM cm
+  UNION ALL SELECT fold_id, k + 1, list_transform(lb, lambda v: CASE WHEN v = e.r THEN e.l ELSE v END), e.d, e.l, e.r, lb FROM (
+    SELECT kr.fold_id, k, lb, arg_min({'d': d, 'l': lb[i + 1], 'r': lb[j + 1]}, (d, i, j)) AS e FROM kr JOIN dt ON dt.fold_id = kr.fold_id WHERE lb[i + 1] <> lb[j + 1] GROUP BY kr.fold_id, k, lb)""",
+}
+
+
+@query("linkage_heights", _recursive(sql(f"SELECT fold_id, k - 1 AS step, {r('height')}, CAST(len(list_filter(was, lambda v: v = l OR v = r)) AS BIGINT) AS size FROM kr WHERE k > 0", **LISTS, **KRUSKAL)))
+def _(spark, d):
+    return allocation.linkage(Base(spark, d).train)
+
+
+@query(
+    "hrp_book",
+    _recursive(
+        sql(
+            f"SELECT pw.fold_id, asset, ai.asset_idx, {r('w')}, true AS defined FROM pw JOIN ai ON ai.asset_idx = pw.a",
+            **LISTS,
+            **KRUSKAL,
+            mb="SELECT fold_id, k, a, CASE WHEN was[a + 1] = l THEN 'l' ELSE 'r' END AS side FROM (SELECT *, unnest(range(0, len(was))) AS a FROM kr WHERE k > 0) WHERE was[a + 1] = l OR was[a + 1] = r",
+            iv2="SELECT mb.*, (1 / c) / sum(1 / c) OVER (PARTITION BY mb.fold_id, k, side) AS v FROM mb JOIN cv2 ON cv2.fold_id = mb.fold_id AND cv2.i = a AND cv2.j = a",
+            vr="SELECT p.fold_id, p.k, p.side, sum(p.v * q.v * c) AS var FROM iv2 AS p JOIN iv2 AS q ON p.fold_id = q.fold_id AND p.k = q.k AND p.side = q.side JOIN cv2 ON cv2.fold_id = p.fold_id AND cv2.i = p.a AND cv2.j = q.a GROUP BY 1, 2, 3",
+            pw="SELECT mb.fold_id, a, product(o.var / (o.var + w.var)) AS w FROM mb JOIN vr AS w ON w.fold_id = mb.fold_id AND w.k = mb.k AND w.side = mb.side JOIN vr AS o ON o.fold_id = mb.fold_id AND o.k = mb.k AND o.side <> mb.side GROUP BY mb.fold_id, a",
+        )
+    ),
+)
+def _(spark, d):
+    return allocation.kernel_books(Base(spark, d).train, "hierarchical")
+
+
+@query(
+    "two_speed_cov",
+    sql(
+        f"SELECT ts.fold_id, i, j, {r('c / mid AS c')} FROM ts JOIN (SELECT fold_id, median(c) AS mid FROM ts WHERE i = j GROUP BY fold_id) AS m ON m.fold_id = ts.fold_id WHERE i <= j",
+        look=26,
+        step=40,
+        **WOLF,
+        sl="SELECT pp.fold_id, i, j, (1 - least(beta, delta) / delta) * s1 / t + CASE WHEN i = j THEN least(beta, delta) / delta * mu ELSE 0 END AS c FROM pp JOIN sz ON sz.fold_id = pp.fold_id JOIN wb ON wb.fold_id = pp.fold_id",
+        **AGED,
+        rv="SELECT ac.fold_id, ac.asset_idx, sum(alpha * c * c) / greatest(1 - sum(alpha * alpha), 1e-12) AS v FROM ac GROUP BY 1, 2",
+        ts="SELECT a.fold_id, a.i, a.j, 0.75 * a.c + 0.25 * a.c / sqrt(x.c * y.c) * sqrt(p.v * q.v) AS c FROM sl AS a JOIN sl AS x ON x.fold_id = a.fold_id AND x.i = a.i AND x.j = a.i JOIN sl AS y ON y.fold_id = a.fold_id AND y.i = a.j AND y.j = a.j JOIN rv AS p ON p.fold_id = a.fold_id AND p.asset_idx = a.i JOIN rv AS q ON q.fold_id = a.fold_id AND q.asset_idx = a.j",
+    ),
+)
 def _(spark, d):
-    return allocation.kernel_books(Base(spark, d).train, "minimum_variance")
+    # 26 rows of 25 assets are too few to tell noise by eigenvalues, so the blend is all that is left
+    return allocation.two_speed_covariances(Base(spark, d, look=26).train, 10.0, 0.25)
 
 
 @query("rmt_denoise")
@@ -794,8 +904,9 @@ def _(spark, d):
 def _(spark, d):
     b = Base(spark, d)
     out = None
-    for name in ("risk_parity", "minimum_variance", "max_diversification", "random"):
-        book = allocation.kernel_books(b.train, name).filter("defined")
-        one = books.exposure(book).withColumn("label", F.lit(name))
+    for name in ("risk_parity", "minimum_variance", "shrunk_minimum_variance", "denoised_minimum_variance", "hierarchical", "nested_clusters", "max_diversification", "random"):
+        book = allocation.kernel_books(b.train, name)
+        state = book.groupBy("fold_id").agg(F.bool_and("defined").alias("defined"))
+        one = state.join(books.exposure(book.filter("defined")), "fold_id", "left").withColumn("label", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
