@@ -1,9 +1,10 @@
-"""Allocation of many folds and configurations at once: one grouped-map call per fold and configuration."""
+"""Allocation of many folds and configurations at once: one grouped-map call per fold and slice of configurations."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import asdict
+from time import perf_counter
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 
-SCHEMA = "config string, fold_id int, asset string, asset_idx int, w double, status string, rule string, degraded boolean, gap double, iterations int, eligible int, complete_rows int, l1_equal double, l1_ivp double, l1_gmvp_model double, l1_erc_sample double, events string"
+SCHEMA = "config string, fold_id int, asset string, asset_idx int, w double, status string, rule string, degraded boolean, gap double, iterations int, eligible int, complete_rows int, l1_equal double, l1_ivp double, l1_gmvp_model double, l1_erc_sample double, events string, seconds double"
+#: Configurations solved in one task: a window's rows are copied once for so many.
+SLICE = 16
 
 
 def config_table(spark: SparkSession, configs: dict[str, K.Params]) -> DataFrame:
@@ -31,27 +34,31 @@ def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
 def allocations(train: DataFrame, configs: dict[str, K.Params], allocator: Callable[[np.ndarray, K.Params], K.Outcome] = K.allocate) -> DataFrame:
     """Weights and diagnostics of every configuration in every fold of train (fold_id, row_idx, asset, asset_idx, ret).
 
-    A group is one fold's window under one configuration, so its size is lookback x assets. A kernel that raises becomes a
-    row set with status "failed": nothing is lost and the rest of the job goes on.
+    A group is one fold's window under SLICE configurations, so its size is lookback x assets. A kernel that raises becomes
+    a row set with status "failed": nothing is lost and the rest of the job goes on.
     """
-    names = train.sparkSession.createDataFrame([(n,) for n in configs], "config string")
+    named = list(configs.items())
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        config, fold = key
+        fold, part = key
         x, assets = matrix(rows)
-        try:
-            o = allocator(x, configs[config])
-        except Exception as trouble:  # an injected allocator may raise anything; the fold is marked, not lost
-            o = K.Outcome(np.full(len(assets), np.nan), "failed", events=[f"{type(trouble).__name__}: {trouble}"])
-        out = assets.assign(config=config, fold_id=fold, w=o.w, status=o.status, rule=o.rule, degraded=o.degraded, gap=o.gap, iterations=o.iterations, eligible=o.eligible, complete_rows=o.complete_rows)
-        for k in ("equal", "ivp", "gmvp_model", "erc_sample"):
-            out[f"l1_{k}"] = o.l1.get(k)
-        out["events"] = "; ".join(o.events)
-        return out[columns]
-
-    wide = train.crossJoin(F.broadcast(names)).select("config", "fold_id", "row_idx", "asset", "asset_idx", "ret")
-    return wide.groupBy("config", "fold_id").applyInPandas(run, SCHEMA)
+        made = []
+        for config, params in named[part * SLICE : (part + 1) * SLICE]:
+            began = perf_counter()
+            try:
+                o = allocator(x, params)
+            except Exception as trouble:  # an injected allocator may raise anything; the fold is marked, not lost
+                o = K.Outcome(np.full(len(assets), np.nan), "failed", events=[f"{type(trouble).__name__}: {trouble}"])
+            out = assets.assign(config=config, fold_id=fold, w=o.w, status=o.status, rule=o.rule, degraded=o.degraded, gap=np.nan if o.gap is None else o.gap, iterations=pd.array([o.iterations] * len(assets), "Int32"), eligible=o.eligible, complete_rows=o.complete_rows)
+            for k in ("equal", "ivp", "gmvp_model", "erc_sample"):
+                out[f"l1_{k}"] = o.l1.get(k, np.nan)
+            out["events"], out["seconds"] = "; ".join(o.events), perf_counter() - began
+            made.append(out[columns])
+        return pd.concat(made)
+
+    wide = train.select("fold_id", "row_idx", "asset", "asset_idx", "ret", F.explode(F.sequence(F.lit(0), F.lit((len(named) - 1) // SLICE))).alias("part"))
+    return wide.groupBy("fold_id", "part").applyInPandas(run, SCHEMA)
 
 
 def kernel_books(train: DataFrame, book: str) -> DataFrame:
@@ -97,17 +104,32 @@ def kernel_books(train: DataFrame, book: str) -> DataFrame:
     return train.select("fold_id", "row_idx", "asset", "asset_idx", "ret").groupBy("fold_id").applyInPandas(run, "fold_id int, asset string, asset_idx int, w double, defined boolean")
 
 
-def anchored_books(train: DataFrame, penalty: float) -> DataFrame:
-    """Rows (fold_id, asset, asset_idx, w, objective, certified): least relative objective on the sample covariance, the inverse-volatility book as anchor."""
+def anchored_books(train: DataFrame, penalty: float, tilt: DataFrame | None = None) -> DataFrame:
+    """Rows (fold_id, asset, asset_idx, w, objective, certified): least relative objective on the sample covariance, the inverse-volatility book as anchor.
+
+    tilt: (fold_id, asset, tilt), a slope that is added to the objective; a book that can't be certified is the anchor, and
+    the inverse-risk book where there is no anchor.
+    """
+
+    tilted = tilt is not None
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, assets = matrix(rows)
-        c = np.cov(x, rowvar=False)
-        sd = np.sqrt(np.diag(c))
-        found = K.solve(c, (1 / sd) / (1 / sd).sum(), penalty)
-        return assets.assign(fold_id=key[0], w=found.w, objective=found.objective, certified=found.converged)[["fold_id", "asset", "asset_idx", "w", "objective", "certified"]]
+        c = np.atleast_2d(np.cov(x, rowvar=False))
+        sd = np.sqrt(np.maximum(np.diag(c), 1e-12))
+        w, objective, certified = (1 / sd) / (1 / sd).sum(), None, False
+        try:
+            found = K.solve(c, w, penalty, tilt=None if not tilted else rows.drop_duplicates("asset_idx").sort_values("asset_idx")["tilt"].to_numpy(float))
+            if found.converged:
+                w, objective, certified = found.w, found.objective, True
+        except (ValueError, ArithmeticError):
+            pass
+        return assets.assign(fold_id=key[0], w=w, objective=objective, certified=certified)[["fold_id", "asset", "asset_idx", "w", "objective", "certified"]]
 
-    return train.select("fold_id", "row_idx", "asset", "asset_idx", "ret").groupBy("fold_id").applyInPandas(run, "fold_id int, asset string, asset_idx int, w double, objective double, certified boolean")
+    rows = train.select("fold_id", "row_idx", "asset", "asset_idx", "ret")
+    if tilt is not None:
+        rows = rows.join(tilt.select("fold_id", "asset", "tilt"), ["fold_id", "asset"])
+    return rows.groupBy("fold_id").applyInPandas(run, "fold_id int, asset string, asset_idx int, w double, objective double, certified boolean")
 
 
 def linkage(train: DataFrame) -> DataFrame:

@@ -11,51 +11,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def holdings(test: DataFrame, book: DataFrame) -> DataFrame:
-    """test rows (fold_id, row_idx, asset, ret) with the weight w of the book."""
-    return test.join(book.select("fold_id", "asset", "w"), ["fold_id", "asset"])
+FOLD = ("fold_id",)
 
 
-def drifting(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+def holdings(test: DataFrame, book: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
+    """test rows (fold_id, row_idx, asset, ret) with the weight w of the book; by: the keys of a path, here and below."""
+    return test.join(book.select(*by, "asset", "w"), ["fold_id", "asset"])
+
+
+def drifting(held: DataFrame, by: tuple[str, ...] = FOLD) -> tuple[DataFrame, DataFrame]:
     """Path (fold_id, row_idx, gross, turnover) and end weights (fold_id, asset, w_end) without trades inside a fold."""
-    run = Window.partitionBy("fold_id", "asset").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*by, "asset").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
     grown = held.withColumn("share", F.col("w") * F.product(1 + F.col("ret")).over(run))
-    wealth = grown.groupBy("fold_id", "row_idx").agg(F.sum("share").alias("wealth"))
-    before = F.lag("wealth", 1, 1.0).over(Window.partitionBy("fold_id").orderBy("row_idx"))
-    path = wealth.withColumn("before", before).withColumn("alive", F.min("wealth").over(Window.partitionBy("fold_id")) > 0)
-    path = path.filter("alive").select("fold_id", "row_idx", (F.try_divide("wealth", "before") - 1).alias("gross"), F.lit(0.0).alias("turnover"))
-    last = grown.groupBy("fold_id").agg(F.max("row_idx").alias("row_idx"))
-    at_end = grown.join(F.broadcast(last), ["fold_id", "row_idx"])
-    ends = at_end.select("fold_id", "asset", F.try_divide(F.col("share"), F.sum("share").over(Window.partitionBy("fold_id"))).alias("w_end"))
+    wealth = grown.groupBy(*by, "row_idx").agg(F.sum("share").alias("wealth"))
+    before = F.lag("wealth", 1, 1.0).over(Window.partitionBy(*by).orderBy("row_idx"))
+    path = wealth.withColumn("before", before).withColumn("alive", F.min("wealth").over(Window.partitionBy(*by)) > 0)
+    path = path.filter("alive").select(*by, "row_idx", (F.try_divide("wealth", "before") - 1).alias("gross"), F.lit(0.0).alias("turnover"))
+    last = grown.groupBy(*by).agg(F.max("row_idx").alias("row_idx"))
+    at_end = grown.join(last, [*by, "row_idx"])
+    ends = at_end.select(*by, "asset", F.try_divide(F.col("share"), F.sum("share").over(Window.partitionBy(*by))).alias("w_end"))
     return path, ends
 
 
-def rebalanced(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rebalanced(held: DataFrame, by: tuple[str, ...] = FOLD) -> tuple[DataFrame, DataFrame]:
     """The same with weights reset to the target before each row after the first; what that trades is the row's turnover."""
-    gross = held.groupBy("fold_id", "row_idx").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"))
-    moved = held.join(gross, ["fold_id", "row_idx"]).withColumn("drifted", F.try_divide(F.col("w") * (1 + F.col("ret")), 1 + F.col("gross")))
-    before = F.lag("drifted").over(Window.partitionBy("fold_id", "asset").orderBy("row_idx"))
-    traded = moved.withColumn("trade", F.abs(F.col("w") - before)).groupBy("fold_id", "row_idx", "gross").agg(F.coalesce(F.sum("trade"), F.lit(0.0)).alias("turnover"))
-    alive = F.min(1 + F.col("gross")).over(Window.partitionBy("fold_id")) > 0
-    path = traded.withColumn("alive", alive).filter("alive").select("fold_id", "row_idx", "gross", "turnover")
-    last = held.groupBy("fold_id").agg(F.max("row_idx").alias("row_idx"))
-    ends = moved.join(F.broadcast(last), ["fold_id", "row_idx"]).select("fold_id", "asset", F.col("drifted").alias("w_end"))
+    day = Window.partitionBy(*by, "row_idx")
+    moved = held.withColumn("gross", F.sum(F.col("w") * F.col("ret")).over(day)).withColumn("drifted", F.try_divide(F.col("w") * (1 + F.col("ret")), 1 + F.col("gross")))
+    before = F.lag("drifted").over(Window.partitionBy(*by, "asset").orderBy("row_idx"))
+    traded = moved.withColumn("trade", F.abs(F.col("w") - before)).groupBy(*by, "row_idx").agg(F.first("gross").alias("gross"), F.coalesce(F.sum("trade"), F.lit(0.0)).alias("turnover"))
+    alive = F.min(1 + F.col("gross")).over(Window.partitionBy(*by)) > 0
+    path = traded.withColumn("alive", alive).filter("alive").select(*by, "row_idx", "gross", "turnover")
+    last = held.groupBy(*by).agg(F.max("row_idx").alias("row_idx"))
+    ends = moved.join(last, [*by, "row_idx"]).select(*by, "asset", F.col("drifted").alias("w_end"))
     return path, ends
 
 
-def rebalance_turnover(book: DataFrame, ends: DataFrame) -> DataFrame:
+def rebalance_turnover(book: DataFrame, ends: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
     """Rows (fold_id, trade): what is traded into a fold, from the end weights of the fold before (from nothing if it failed)."""
-    before = ends.select((F.col("fold_id") + 1).alias("fold_id"), "asset", "w_end")
-    both = book.join(before, ["fold_id", "asset"], "left")
-    return both.groupBy("fold_id").agg(F.sum(F.abs(F.col("w") - F.coalesce("w_end", F.lit(0.0)))).alias("trade"))
+    before = ends.withColumn("fold_id", F.col("fold_id") + 1).select(*by, "asset", "w_end")
+    both = book.join(before, [*by, "asset"], "left")
+    return both.groupBy(*by).agg(F.sum(F.abs(F.col("w") - F.coalesce("w_end", F.lit(0.0)))).alias("trade"))
 
 
-def net_path(path: DataFrame, trades: DataFrame, cost_bps: float) -> DataFrame:
+def net_path(path: DataFrame, trades: DataFrame, cost_bps: float, by: tuple[str, ...] = FOLD) -> DataFrame:
     """Rows (fold_id, row_idx, gross, turnover, net): costs are taken off capital before the row's return."""
-    first = F.row_number().over(Window.partitionBy("fold_id").orderBy("row_idx")) == 1
-    whole = path.join(F.broadcast(trades), "fold_id").withColumn("turnover", F.col("turnover") + F.when(first, F.col("trade")).otherwise(0.0))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("row_idx")) == 1
+    whole = path.join(trades, list(by)).withColumn("turnover", F.col("turnover") + F.when(first, F.col("trade")).otherwise(0.0))
     cost = F.col("turnover") * (cost_bps / 10000.0)
-    return whole.select("fold_id", "row_idx", "gross", "turnover", F.when(cost < 1, (1 - cost) * (1 + F.col("gross")) - 1).alias("net"))
+    return whole.select(*by, "row_idx", "gross", "turnover", F.when(cost < 1, (1 - cost) * (1 + F.col("gross")) - 1).alias("net"))
 
 
 def bookkeeping(folds: DataFrame, path: DataFrame, statuses: DataFrame | None = None) -> DataFrame:

@@ -64,14 +64,37 @@ def exposure(book: DataFrame) -> DataFrame:
     return book.groupBy("fold_id").agg(F.sum(F.greatest(w, F.lit(0.0))).alias("long"), F.sum(F.greatest(-w, F.lit(0.0))).alias("short"), F.sum(w).alias("net"), F.sum(F.abs(w)).alias("gross"), F.max(w).alias("max_weight"), (1 / F.sum(w * w)).alias("effective_n"))
 
 
-def contract(book: DataFrame, short: float = 0.0) -> DataFrame:
-    """Rows (fold_id, violation): the first rule a book breaks, NULL if none."""
+def contract(book: DataFrame, short: float = 0.0, by: tuple[str, ...] = ("fold_id",)) -> DataFrame:
+    """Rows (fold_id, violation, equal): the first rule a book breaks, NULL if none. A single asset may hold all."""
     w, n = F.col("w"), F.col("n")
-    sized = book.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("fold_id")))
-    equal = F.bool_and(F.abs(w - 1 / n) <= 1e-8 + 1e-5 * F.abs(1 / n))
-    sums = sized.groupBy("fold_id").agg(F.count_if(w.isNull() | F.isnan(w)).alias("holes"), F.sum(F.greatest(-w, F.lit(0.0))).alias("short"), F.sum(w).alias("net"), equal.alias("equal"))
+    sized = book.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    equal = F.bool_and(F.abs(w - 1 / n) <= 1e-8 + 1e-5 * F.abs(1 / n)) & (F.first("n") > 1)
+    sums = sized.groupBy(*by).agg(F.count_if(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf"))).alias("holes"), F.sum(F.greatest(-w, F.lit(0.0))).alias("short"), F.sum(w).alias("net"), equal.alias("equal"))
     code = F.when(F.col("holes") > 0, "not finite").when(F.col("short") > short + 1e-10, "short budget").when(F.abs(F.col("net") - 1) > 1e-10, "sum").when(F.col("equal"), "equal weight")
-    return sums.select("fold_id", code.alias("violation"), "equal")
+    return sums.select(*by, code.alias("violation"), "equal")
+
+
+def certificate(cov: DataFrame, book: DataFrame, anchor: DataFrame, penalty: float, short: float = 0.0) -> DataFrame:
+    """Rows (fold_id, objective, low, gap): what the linear model at a book promises at most, relative to its objective."""
+    both = book.select("fold_id", "asset_idx", F.col("w").alias("w")).join(anchor.select("fold_id", "asset_idx", F.col("w").alias("b")), ["fold_id", "asset_idx"])
+    whole = cov.select("fold_id", "i", "j", "cov").union(cov.filter("i <> j").select("fold_id", "j", "i", "cov"))
+    at = both.select("fold_id", F.col("asset_idx").alias("j"), "w", "b")
+    drawn = whole.join(at, ["fold_id", "j"]).groupBy("fold_id", F.col("i").alias("asset_idx")).agg(F.sum(F.col("cov") * F.col("w")).alias("cw"), F.sum(F.col("cov") * F.col("b")).alias("cb"))
+    rows = both.join(drawn, ["fold_id", "asset_idx"])
+    sums = rows.groupBy("fold_id").agg(F.sum(F.col("b") * F.col("cb")).alias("risk"), F.sum(F.col("b") * F.col("b")).alias("size"))
+    sloped = rows.join(F.broadcast(sums), "fold_id").withColumn("g", 2 * (F.col("cw") / F.col("risk") + penalty * (F.col("w") - F.col("b")) / F.col("size")))
+    ends = sloped.groupBy("fold_id").agg(
+        (F.sum(F.col("w") * F.col("cw")) / F.first("risk") + penalty * F.sum(F.pow(F.col("w") - F.col("b"), 2)) / F.first("size")).alias("objective"),
+        (F.min("g") + short * (F.min("g") - F.max("g"))).alias("low"),
+        F.sum(F.col("g") * F.col("w")).alias("at"),
+    )
+    return ends.select("fold_id", "objective", "low", (F.greatest(F.col("at") - F.col("low"), F.lit(0.0)) / (1 + F.abs("objective"))).alias("gap"))
+
+
+def boxed_low(slopes: DataFrame, floor: float) -> DataFrame:
+    """Rows (fold_id, low): the least of g'v over sum(v) = 1, v >= -floor: all at the floor but the least slope."""
+    n, g = F.count(F.lit(1)), F.col("v")
+    return slopes.groupBy("fold_id").agg(((1 + n * floor) * F.min(g) - floor * F.sum(g)).alias("low"))
 
 
 def relative_objective(cov: DataFrame, book: DataFrame, anchor: DataFrame, penalty: float) -> DataFrame:

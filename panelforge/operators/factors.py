@@ -66,10 +66,26 @@ def kurt(x: Column, w: int) -> Column:
     return F.when((n >= least_rows(w)) & ~flat, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x).over(_last(w)) + 6))
 
 
+#: Half-lives in a block of weights: 2**100 is far from overflow, and what lies a whole block back weighs 2**-100.
+BLOCK = 100
+
+
 def faded(x: Column, half_life: float, least: int) -> Column:
-    """Mean with weights that halve every half_life rows back; weights are scaled about k = 0, which holds for 1000 half-lives."""
-    weight = F.when(x.isNotNull(), F.pow(F.lit(2.0), F.col("k") / half_life))
-    return F.when(F.count(x).over(_so_far()) >= least, F.try_divide(F.sum(x * weight).over(_so_far()), F.sum(weight).over(_so_far())))
+    """Mean with weights that halve every half_life rows back.
+
+    Weights are powers of two from the start of a block of rows, so they stay bounded however long the panel is; a row sees
+    its own block so far and the block before, scaled down.
+    """
+    rows = int(BLOCK * half_life)
+    block = F.floor(F.col("k") / rows)
+    weight = F.when(x.isNotNull(), F.pow(F.lit(2.0), (F.col("k") - block * rows) / half_life))
+    own = Window.partitionBy("asset", block).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("asset").orderBy(block).rangeBetween(-1, -1)
+
+    def total(v: Column) -> Column:
+        return F.coalesce(F.sum(v).over(own), F.lit(0.0)) + F.coalesce(F.sum(v).over(before), F.lit(0.0)) * 2.0**-BLOCK
+
+    return F.when(F.count(x).over(_so_far()) >= least, F.try_divide(total(x * weight), total(weight)))
 
 
 def moved(price: Column, rows: int) -> Column:

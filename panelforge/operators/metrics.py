@@ -82,6 +82,54 @@ def extended(path: DataFrame, by: list[str], value: str = "ret") -> DataFrame:
     )
 
 
+#: Points of a grid over the scale of entropic value at risk, and how often it is refined about its best point.
+POINTS, ROUNDS = 24, 4
+
+
+def entropic_value_at_risk(path: DataFrame, by: list[str], value: str, out: str, tail: float = 0.05) -> DataFrame:
+    """The least over z of z ln(mean(exp(loss / z)) / tail), losses being -value; z in units of the largest loss in size.
+
+    The function is convex in z, so a grid of powers that closes in on its best point finds the minimum.
+    """
+    sized = path.groupBy(*by).agg(F.max(F.abs(F.col(value))).alias("size"))
+    rows = path.join(sized, by).filter("size > 0").withColumn("loss", -F.col(value) / F.col("size"))
+    grid = rows.select(*by).distinct().withColumn("centre", F.lit(0.0))
+    width = 8.0
+    best = grid
+    for _ in range(ROUNDS):
+        steps = F.transform(F.sequence(F.lit(-POINTS), F.lit(POINTS)), lambda i: i * (width / POINTS))
+        tried = best.select(*by, F.explode(F.transform(steps, lambda d: F.col("centre") + d)).alias("power"))
+        z = F.pow(F.lit(2.0), F.col("power"))
+        # the largest loss is taken out of the sum, so nothing overflows
+        scored = rows.join(tried, by).groupBy(*by, "power").agg(F.max("loss").alias("top"), F.collect_list("loss").alias("losses"))
+        mean = F.aggregate("losses", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / z)) / F.size("losses")
+        risk = F.col("top") + z * (F.log(mean) - F.log(F.lit(tail)))
+        best = scored.select(*by, "power", risk.alias("risk")).groupBy(*by).agg(F.min(F.struct("risk", "power")).alias("b")).select(*by, F.col("b.power").alias("centre"), F.col("b.risk").alias("risk"))
+        width = 2 * width / POINTS
+    return best.join(sized, by).select(*by, (F.col("risk") * F.col("size")).alias(out))
+
+
+def tails(path: DataFrame, by: list[str], value: str = "ret", tail: float = 0.05, periods: float = YEAR) -> DataFrame:
+    """Gini mean difference, entropic risk, first lower partial moment, and the arithmetic drawdowns' mean, value at risk, CVaR and Calmar ratio."""
+    run = Window.partitionBy(*by).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*by)
+    rows = path.withColumn("total", F.sum(value).over(run)).withColumn("fallen", F.max("total").over(run) - F.col("total"))
+    rows = rows.withColumn("m", F.avg(value).over(up)).withColumn("n", F.count(F.lit(1)).over(up)).withColumn("place", F.row_number().over(up.orderBy(value, "row_idx")))
+    deep = rows.withColumn("depth", F.row_number().over(up.orderBy(F.desc("fallen"), "row_idx"))).withColumn("size", F.col("n") * tail)
+    part = F.least(F.greatest(F.col("size") - F.col("depth") + 1, F.lit(0.0)), F.lit(1.0))
+    kept = F.when(F.col("depth") <= F.ceil(F.col("size") - TAIL_SLACK), part).otherwise(0.0)
+    spread = (2 * F.col("place") - F.col("n") - 1) * F.col(value)
+    return deep.groupBy(*by).agg(
+        (2 * F.sum(spread) / (F.first("n") * (F.first("n") - 1))).alias("gini"),
+        (F.log(F.avg(F.exp(-F.col(value)))) - F.log(F.lit(tail))).alias("entropic"),
+        F.avg(F.greatest(F.col("m") - F.col(value), F.lit(0.0))).alias("lower_moment"),
+        F.avg("fallen").alias("mean_drawdown"),
+        F.percentile("fallen", 1 - tail).alias("drawdown_at_risk"),
+        F.try_divide(F.sum(kept * F.col("fallen")), F.sum(kept)).alias("cdar"),
+        F.try_divide(F.first("m") * periods, F.max("fallen")).alias("calmar"),
+    )
+
+
 def yearly(path: DataFrame, dates: DataFrame, least: int, value: str = "ret") -> DataFrame:
     """performance() by calendar year, of years with enough rows; dates: (row_idx, date)."""
     rows = path.join(F.broadcast(dates), "row_idx").withColumn("year", F.year("date"))

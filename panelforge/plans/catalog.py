@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import allocation, backtest, books, factors, folds, metrics, projections, risk, scoring
+from ..operators import allocation, backtest, books, engine, factors, folds, metrics, projections, risk, scoring
 from ..sources import panels
+from ..sources.stored import stored
 from .sqlref import digits, r, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,15 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(c, digits(c)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in LITTLE else F.col(c) for c, t in df.dtypes))
 
 
+def release() -> None:
+    """Free the panel that is held."""
+    for held in _last.values():
+        for name in ("returns", "train", "test"):
+            if SparkSession.getActiveSession() is not None:
+                held[name].unpersist()
+    _last.clear()
+
+
 def query(name: str, text: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
@@ -35,15 +45,24 @@ def query(name: str, text: str | None = None):
     return register
 
 
+#: The panel that queries of this session read last, with its folds.
+_last: dict[tuple, dict[str, DataFrame]] = {}
+
+
 class Base:
     """The panel, folds, books and paths that most queries share."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, panel: str = "brand", look: int = LOOK, step: int = STEP):
         # one row per period and asset however large the trades' table is; every fold, book and path reads it again
-        self.returns = panels.panel(spark, sf_dir, panel).persist()
-        self.folds = folds.fold_table(self.returns, look, step)
-        self.train = folds.fold_rows(self.returns, self.folds, "train").persist()
-        self.test = folds.fold_rows(self.returns, self.folds, "test").persist()
+        key = (spark.sparkContext.applicationId, sf_dir, panel, look, step)
+        if key not in _last:
+            release()
+            returns = panels.panel(spark, sf_dir, panel)
+            table = folds.fold_table(returns, look, step)
+            _last[key] = {"returns": returns, "folds": table, "train": folds.fold_rows(returns, table, "train"), "test": folds.fold_rows(returns, table, "test")}
+        held = _last[key]
+        self.returns, self.folds = held["returns"].persist(), held["folds"]
+        self.train, self.test = held["train"].persist(), held["test"].persist()
 
     def ivp(self) -> DataFrame:
         return books.inverse_volatility(self.train)
@@ -404,9 +423,10 @@ def field(spark: SparkSession, d: str) -> DataFrame:
         every = one if every is None else every.unionByName(one)
     test = b.test.join(F.broadcast(spark.createDataFrame([(n,) for n in made], "label string"))).withColumn("fold_id", F.concat_ws("|", "label", "fold_id"))
     path, _ = backtest.rebalanced(backtest.holdings(test, every))
-    folds_ = metrics.fold_metrics(path.withColumnRenamed("gross", "ret"), ["fold_id"]).withColumn("label", F.substring_index("fold_id", "|", 1))
+    path = path.select("fold_id", "row_idx", F.col("gross").alias("ret"))
+    folds_ = metrics.performance(path, ["fold_id"]).join(metrics.cvar(path, ["fold_id"]), "fold_id").withColumn("label", F.substring_index("fold_id", "|", 1))
     entries = folds_.groupBy("label").agg(F.median("annual_mean").alias("median_annual"), F.median("sharpe").alias("median_sharpe"), F.median("cvar95").alias("median_cvar"), F.lit(0.0).alias("fail"))
-    return entries.persist()  # one row per book
+    return stored(entries, "entries")  # one row per book
 
 
 FIELD = {
@@ -493,11 +513,16 @@ def _(spark, d):
     return scoring.compliance(books.l1_distance(b.ivp(), books.equal_weight(b.train)).withColumn("book", F.lit("ivp")), ["book"])
 
 
-@query("unanimity", sql(f"SELECT label, {r('min(delta) AS least', 'avg(delta) AS mean')} FROM (SELECT a.label, a.cvar95 - e.cvar95 + 0.02 AS delta FROM bc AS a JOIN bc AS e ON e.label = 'ewp' AND a.fold_id = e.fold_id WHERE a.label = 'ivp') GROUP BY label HAVING min(delta) > 0", **FIELD))
+@query("unanimity", sql(f"SELECT label, {r('min(delta) AS least', 'avg(delta) AS mean')} FROM (SELECT a.label, a.low - e.low AS delta FROM bl AS a JOIN bl AS e ON e.label = 'ewp' AND a.fold_id = e.fold_id WHERE a.label <> 'ewp' UNION ALL SELECT 'ewp over worst asset', e.low - w.low FROM bl AS e JOIN wl2 AS w ON w.fold_id = e.fold_id WHERE e.label = 'ewp') GROUP BY label HAVING min(delta) > 0", **FIELD, bl="SELECT label, fold_id, min(gross) AS low FROM bp GROUP BY label, fold_id", wl2="SELECT fold_id, min(ret) AS low FROM te GROUP BY fold_id"))
 def _(spark, d):
     b = Base(spark, d)
-    x, y = b.metrics().select("fold_id", F.col("cvar95").alias("a")), b.metrics(books.equal_weight(b.train)).select("fold_id", F.col("cvar95").alias("e"))
-    return scoring.unanimous(x.join(y, "fold_id").select(F.lit("ivp").alias("label"), (F.col("a") - F.col("e") + 0.02).alias("delta")), ["label"])
+    lows = {name: b.path(book).groupBy("fold_id").agg(F.min("gross").alias("low")) for name, book in (("ewp", books.equal_weight(b.train)), ("ivp", b.ivp()), ("inverse_risk", books.inverse_risk(b.train)), ("last_resort", books.last_resort(b.train)), ("risk_ranked", books.risk_ranked(b.train)))}
+    lows["worst"] = b.test.groupBy("fold_id").agg(F.min("ret").alias("low"))
+    out = None
+    for name, (x, y) in {**{n: (n, "ewp") for n in BOOKS if n != "ewp"}, "ewp over worst asset": ("ewp", "worst")}.items():
+        one = lows[x].join(lows[y].withColumnRenamed("low", "other"), "fold_id").select(F.lit(name).alias("label"), (F.col("low") - F.col("other")).alias("delta"))
+        out = one if out is None else out.unionByName(one)
+    return scoring.unanimous(out, ["label"])
 
 
 @query("size_strata", sql(f"SELECT CASE WHEN sd <= q25 THEN 1 WHEN sd <= q50 THEN 2 WHEN sd <= q75 THEN 3 ELSE 4 END AS stratum, count(*) AS n, {r('avg(sd) AS mean_sd')} FROM sd JOIN (SELECT fold_id, quantile_cont(sd, 0.25) AS q25, quantile_cont(sd, 0.5) AS q50, quantile_cont(sd, 0.75) AS q75 FROM sd GROUP BY fold_id) USING (fold_id) GROUP BY 1"))
@@ -536,8 +561,11 @@ def _back(n: int) -> str:
 
 
 def _fade(x: str, h: float, least: int) -> str:
+    """By the definition: every earlier row's value and weight, for each row anew."""
     over = "OVER (PARTITION BY asset ORDER BY k)"
-    return f"CASE WHEN count({x}) {over} >= {least} THEN sum({x} * pow(2.0, k / {h}.0)) {over} / sum(CASE WHEN {x} IS NOT NULL THEN pow(2.0, k / {h}.0) END) {over} END"
+    weight = f"pow(0.5, (len(l) - 1 - i) / {h}.0)"
+    mean = f"list_sum(list_transform(range(0, len(l)), lambda i: coalesce(l[i + 1], 0) * {weight})) / list_sum(list_transform(range(0, len(l)), lambda i: CASE WHEN l[i + 1] IS NULL THEN 0 ELSE {weight} END))"
+    return f"CASE WHEN count({x}) {over} >= {least} THEN {mean.replace('len(l)', f'len(list({x}) {over})').replace('l[i + 1]', f'(list({x}) {over})[i + 1]')} END"
 
 
 ROLLING = [
@@ -883,12 +911,11 @@ def _(spark, d):
 def sweep(spark: SparkSession, d: str, configs: dict[str, K.Params]) -> DataFrame:
     """Median metrics, failures and least distances of every configuration over all folds: one job for the whole grid."""
     b = Base(spark, d)
-    made = allocation.allocations(b.train, configs)
-    key = F.concat_ws("|", "config", "fold_id").alias("fold_id")
-    names = spark.createDataFrame([(c,) for c in configs], "config string")
-    held = backtest.holdings(b.test.join(F.broadcast(names)).withColumn("fold_id", key), made.select(key, "asset", "w"))
-    path, _ = backtest.rebalanced(held)
-    folds_ = metrics.fold_metrics(path.withColumnRenamed("gross", "ret"), ["fold_id"]).withColumn("config", F.substring_index("fold_id", "|", 1))
+    made = stored(allocation.allocations(b.train, configs), "allocations")  # states, holdings and distances read them
+    by = engine.KEYS
+    path, _ = backtest.rebalanced(backtest.holdings(b.test, made.select(*by, "asset", "w"), by), by)
+    path = path.select(*by, "row_idx", F.col("gross").alias("ret"))
+    folds_ = metrics.performance(path, list(by)).join(metrics.cvar(path, list(by)), list(by))
     state = made.groupBy("config").agg(F.count_distinct("fold_id").alias("folds"), F.avg((F.col("status") == "failed").cast("double")).alias("fail"), F.avg(F.col("degraded").cast("double")).alias("degraded"), F.min("l1_equal").alias("l1_equal"), F.min("l1_erc_sample").alias("l1_erc"))
     sums = folds_.groupBy("config").agg(F.median("annual_mean").alias("median_annual"), F.median("sharpe").alias("median_sharpe"), F.median("cvar95").alias("median_cvar"))
     return state.join(sums, "config", "left").withColumnRenamed("config", "label")

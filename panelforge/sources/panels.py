@@ -44,6 +44,18 @@ def write_panel(df: DataFrame, path: str, kind: str = "parquet") -> None:
     getattr(df.write.mode("overwrite"), kind)(path)
 
 
+def write_by_year(df: DataFrame, path: str) -> None:
+    """A dated panel as Parquet, a folder for each year, so that a span of years reads its folders only."""
+    df.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def read_returns_csv(spark: SparkSession, path: str, assets: list[str]) -> DataFrame:
+    """A wide CSV of returns as long rows (date, asset, ret); impossible returns are missing."""
+    schema = "date DATE, " + ", ".join(f"`{a}` DOUBLE" for a in assets)
+    wide = spark.read.csv(path, header=True, schema=schema).unpivot(["date"], assets, "asset", "ret")
+    return wide.withColumn("ret", F.when(valid_return(F.col("ret")), F.col("ret")))
+
+
 def missing_to_null(x: F.Column) -> F.Column:
     """NaN and infinity are missing."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
@@ -115,6 +127,29 @@ def panel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return complete_returns(PanelSpec(name).prices(spark, sf_dir))
 
 
+def live_mask(prices: DataFrame) -> DataFrame:
+    """Rows (date, asset, live) for every date and asset: whether there is a price above zero."""
+    grid = prices.select("date").distinct().crossJoin(F.broadcast(prices.select("asset").distinct()))  # the panel's own size
+    return grid.join(prices, ["date", "asset"], "left").select("date", "asset", F.coalesce(F.col("price") > 0, F.lit(False)).alias("live"))
+
+
+def members(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Membership (index_name, date, asset): nations that shipped lines of an order priority in a week."""
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin(*names)).select("o_orderkey", F.col("o_orderpriority").alias("index_name"))
+    supplier = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("asset"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
+    return line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("index_name", "date", "asset").distinct()
+
+
+#: A key is a family's name, a mark and a number.
+KEY = r"^(\w+)#(\d+)$"
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows (key, family, number) of the keys that are well formed."""
+    return rows.filter(F.rlike("key", F.lit(KEY))).select("key", F.regexp_extract("key", KEY, 1).alias("family"), F.regexp_extract("key", KEY, 2).cast("long").alias("number"))
+
+
 def first_assets(returns: DataFrame, cap: int) -> DataFrame:
     """Only the first assets by name."""
     return returns.filter(F.col("asset_idx") < cap)
