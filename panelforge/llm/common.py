@@ -111,12 +111,20 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return stored(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") * HOT_SHARE > total).select(key), "hot-keys")
 
 
-def split_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
-    """Inner join of big with small (one row for a key): rows of hot keys meet a broadcast, so no task gets all rows of a key.
+#: Rows of the small side of split_join() (some 100 bytes each) that are broadcast whole, at most.
+WHOLE_ROWS = 100_000
 
-    What is broadcast are HOT_SHARE rows of small at most. big is read twice, so it should be a stored table.
+
+def split_join(big: DataFrame, small: DataFrame, key: str, written: bool = False) -> DataFrame:
+    """Inner join of big with small (one row for a key), so that no task gets all rows of a hot key.
+
+    A small side of WHOLE_ROWS rows at most is broadcast. Beyond that only the rows of hot keys are, HOT_SHARE at most, and
+    the rest is joined by a shuffle. big is read twice then, so it should be a stored table. written: small is stored already.
     """
-    hot = hot_keys(big, key) if hot is None else hot
+    small = small if written else stored(small, "small-side")
+    if small.count() <= WHOLE_ROWS:
+        return big.join(F.broadcast(small), key)
+    hot = hot_keys(big, key)
     few = small.join(F.broadcast(hot), key, "left_semi")
     usual = big.join(F.broadcast(hot), key, "left_anti").join(small, key)
     return usual.unionByName(big.join(F.broadcast(few), key))

@@ -187,3 +187,16 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_split_joins_by_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "WHOLE_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    big = spark.createDataFrame([(i % 40 if i % 3 else 7, i) for i in range(400)], "k int, v int")
+    small = spark.createDataFrame([(k, k * k) for k in range(30)], "k int, w int")
+    got = sorted(tuple(r) for r in common.split_join(common.stored(big, "big"), small, "k").select("k", "v", "w").collect())
+    assert got == sorted(tuple(r) for r in big.join(small, "k").select("k", "v", "w").collect())
+    assert {r.k for r in common.hot_keys(big, "k").collect()} == {7}
+    texts = ["a b c d e f g h i j"] * 5 + ["a b c d e f g h i j k"] * 3 + [f"x{i} y z w v u t s r q p q{i}" for i in range(20)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(table(spark, texts), 3, 80).collect()}
+    assert {got[i] for i in range(8)} == {0} and len({got[i] for i in range(8, 28)}) == 20
