@@ -27,10 +27,11 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Free the panel that is held."""
-    for held in _last.values():
-        for name in ("returns", "train", "test"):
-            if SparkSession.getActiveSession() is not None:
+    """Free the panel that is held; one of a session that has ended is only forgotten."""
+    session = SparkSession.getActiveSession()
+    for key, held in _last.items():
+        if session is not None and key[0] == session.sparkContext.applicationId:
+            for name in ("returns", "train", "test"):
                 held[name].unpersist()
     _last.clear()
 
