@@ -3,8 +3,8 @@
 The channel writes a letter as itself or as a look-alike (leetspeak), repeats it, puts marks between letters, or spaces a
 word out. A token that shows such traces becomes a character lattice; a beam Viterbi search under a trigram character
 model gives its likeliest readings, and known words are preferred by their frequency. The character model counts every
-word of every text; the known words are the LEXICON most frequent ones, the score's own words, and every word of the
-corpus that carries one of the score's signs.
+word of every text; the known words are those that make up one in FREQUENT words or more, the score's own words, and every
+word of the corpus that carries one of the score's signs.
 
 The score is logistic in the presence of signs: restored words and their first PREFIXES letters (families of inflected
 words share them). It learns from SAMPLE labelled texts at most (the first by a
@@ -34,13 +34,13 @@ from . import common
 
 #: Labelled texts that the score learns from, at most.
 SAMPLE = 10_000
-#: Signs of the score, and texts of the sample that a sign must be in.
-SIGNS, FEWEST = 400, 6
+#: Signs of the score, toxic texts of the sample that a sign must be in, and its least log-odds.
+SIGNS, FEWEST, LEAST_ODDS = 400, 6, 1.0
 PREFIXES = (4, 5, 6)
-#: Share of its own log-odds that a sign's weight is held to.
-PRIOR = 0.7
-#: Frequent words that a reading may be, at most.
-LEXICON = 20_000
+#: Share of its own log-odds that a sign's weight is held to, and how firmly (toxicity_settings.py chooses these).
+PRIOR, RIDGE = 0.55, 0.03
+#: A word is frequent, so that a reading may be it, from one in so many words on; so there are that many at most.
+FREQUENT = 200_000
 BEAM = 24
 #: Of a token with more letters than any known word, so many signs are read: longer than any beginning that is weighed.
 HEAD = 64
@@ -350,7 +350,7 @@ def _presence(docs: DataFrame, restorer: Restorer) -> DataFrame:
     return docs.mapInArrow(common.each(run), "doc_id long, toxic int, words array<string>")
 
 
-def fit_weights(features: np.ndarray, labels: np.ndarray, prior: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, float]:
+def fit_weights(features: np.ndarray, labels: np.ndarray, prior: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton's method, held near prior weights, since signs that come together share their credit."""
     x = np.column_stack([np.ones(len(features)), features])
     prior = np.append(-2.0, prior)
@@ -395,17 +395,24 @@ def carriers(words: DataFrame, signs: list[str]) -> dict[str, int]:
     return {r.word: r.n for r in words.filter(held & (F.length("word") > 2)).collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
-    """Learn from the labelled rows outside the held-out fold."""
+def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Restorer, DataFrame, DataFrame]:
+    """A restorer, rows (doc_id, toxic, words) of the labelled texts that the score may learn from, and the word counts."""
     spark = docs.sparkSession
     words = common.stored(word_counts(docs), "word-counts")
-    lexicon = {r.word: r.n for r in words.filter(F.length("word") > 2).orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+    total = words.agg(F.sum("n")).first()[0] or 0
+    lexicon = {r.word: r.n for r in words.filter((F.length("word") > 2) & (F.col("n") * FREQUENT >= total)).collect()}  # FREQUENT rows at most
     restorer = Restorer(char_model(words), lexicon)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.filter(~held_out_fold()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # sample rows at most
     chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    seen = common.stored(_presence(rows, restorer), "labelled-words")
+    return restorer, common.stored(_presence(rows, restorer), "labelled-words"), words
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
+    """Learn from the labelled rows outside the held-out fold."""
+    restorer, seen, words = labelled_words(docs, labels, sample)
+    lexicon = restorer.lexicon
     sizes = {r.toxic: r.n for r in seen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -413,7 +420,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
         return Toxicity(restorer, {}, 40.0 if share else -40.0)
     per = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FEWEST)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1.0))
-    best = per.withColumn("odds", odds).withColumn("gain", F.round(F.abs("odds") * F.sqrt("t"), 9)).filter("odds > 2.5 AND t >= 6").orderBy(F.desc("gain"), "word").limit(SIGNS)
+    best = per.withColumn("odds", odds).withColumn("gain", F.round(F.abs("odds") * F.sqrt("t"), 9)).filter((F.col("odds") > LEAST_ODDS) & (F.col("t") >= FEWEST)).orderBy(F.desc("gain"), "word").limit(SIGNS)
     best = distinct_signs([(r.word, r.t, r.n, r.odds) for r in best.collect()])
     chosen_words = [b[0] for b in best]
     place = {w: i for i, w in enumerate(chosen_words)}
@@ -426,7 +433,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     weights, bias = fit_weights(x, y, PRIOR * np.array([b[3] for b in best]))
     learned = {w: float(v) for w, v in zip(chosen_words, weights, strict=True)}
     strong = [w for w, v in learned.items() if v > 0.5]
-    restorer.lexicon |= {w: lexicon.get(w, 1) for w in strong if not w.endswith("-")} | carriers(words, strong)
+    restorer.lexicon = lexicon | {w: lexicon.get(w, 1) for w in strong if not w.endswith("-")} | carriers(words, strong)
     return Toxicity(Restorer(restorer.model, restorer.lexicon), learned, bias)
 
 

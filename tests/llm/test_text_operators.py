@@ -466,7 +466,7 @@ def test_doubled_letters_and_heavy_leetspeak():
 
 
 def test_rare_words_with_a_learned_sign_are_known(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "LEXICON", 3)  # all of the words below are rarer than that
+    monkeypatch.setattr(toxicity, "FREQUENT", 30)  # all of the words below are rarer than that
     rng = random.Random(4)
     common_words = ["".join(rng.choices("bcdefhimnpstu", k=5)) for _ in range(60)]
     family = ["zorkly" + a + b for a in "abdeg" for b in "hilnopqrst"]
