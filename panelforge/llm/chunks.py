@@ -28,10 +28,10 @@ LAST = np.iinfo(np.int64).max
 SCHEMA = "chunk int, ids binary, known binary, lens binary, body binary"
 
 
-def measure(docs: DataFrame, least: int = 1) -> dict:
+def measure(docs: DataFrame, least: int = 1, chunk_bytes: int = CHUNK_BYTES) -> dict:
     """Rows, bytes of text and the id bounds of chunks (least at least): one pass over the table; bounds grow by one id per chunk."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    chunks = max(least, -(-int(size or 0) // CHUNK_BYTES))
+    chunks = max(least, -(-int(size or 0) // chunk_bytes))
     bounds: list[int] = []
     if n and chunks > 1:
         at = [i / chunks for i in range(1, chunks)]

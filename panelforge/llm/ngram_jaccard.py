@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +36,10 @@ N, PERCENT = 3, 90
 #: Kinds of star pairs between groups before the rest is paired exactly.
 STARS = 2
 
-RUN = "bucket int, chunk int, width int, prints binary, counts binary"
+RUN = "bucket int, chunk int, bits int, prints binary, counts binary"
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, prefix array<long>, places array<int>, shared binary, bits array<long>"
+#: Text of a chunk: workers hold some twenty times that, two to four of them beside an executor's heap.
+CHUNK_BYTES = 4 << 20
 #: 64-bit parts of the bitmap that stands for a set's shared shingles.
 PARTS = 8
 #: Groups of a token that are paired with as many others in one task's key.
@@ -66,14 +67,14 @@ def shingle_sets(chunk: chunks.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
-def print_bytes(size: int) -> int:
-    """Bytes of a shingle's fingerprint for counting: 13 bits more than the shingles of so many bytes of text need."""
-    return min(8, -(-(max(1, size // 4).bit_length() + 13) // 8))
+def print_bits(size: int) -> int:
+    """Bits of a shingle's fingerprint for counting: 13 more than the shingles of so many bytes of text need."""
+    return min(64, max(1, size // 4).bit_length() + 13)
 
 
-def _prints(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct fingerprints (the hash's high bytes), each value's entry among them, and the values of each."""
-    cut = values >> np.uint64(64 - 8 * width) << np.uint64(64 - 8 * width) if width < 8 else values
+def _prints(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints (the hash's high bits), each value's entry among them, and the values of each."""
+    cut = values >> np.uint64(64 - bits) << np.uint64(64 - bits) if bits < 64 else values
     order = np.argsort(cut)
     ordered = cut[order]
     new = np.ones(len(cut), bool)
@@ -84,11 +85,14 @@ def _prints(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return ordered[new], entry, np.diff(np.append(at, len(cut)))
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
+def _planes(values: np.ndarray, bits: int) -> bytes:
+    """The bytes that hold so many high bits, by position; the last one's unused bits are zero and cost nothing packed."""
+    width = -(-bits // 8)
     return common.squeeze(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
-def _unplanes(data: bytes, width: int) -> np.ndarray:
+def _unplanes(data: bytes, bits: int) -> np.ndarray:
+    width = -(-bits // 8)
     rows = np.frombuffer(common.unsqueeze(data), np.uint8).reshape(width, -1).T
     out = np.zeros((len(rows), 8), np.uint8)
     out[:, :width] = rows
@@ -101,13 +105,13 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 200, counts, np.minimum(high, 255)).astype(np.uint8)
 
 
-def _runs(packed: DataFrame, buckets: int, n: int, width: int) -> DataFrame:
+def _runs(packed: DataFrame, buckets: int, n: int, bits: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         _, values = shingle_sets(chunks.Chunk(table, lower=True), n)
-        prints, _, counts = _prints(values, width)
+        prints, _, counts = _prints(values, bits)
         cuts = chunks.bucket_cuts(prints, buckets)
         key = table.column("chunk")[0].as_py()
-        rows = [(b, key, width, _planes(prints[i:j], width), common.squeeze(counts[i:j].astype(np.uint32).tobytes())) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        rows = [(b, key, bits, _planes(prints[i:j], bits), common.squeeze(counts[i:j].astype(np.uint32).tobytes())) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return common.arrow_table(rows, RUN)
 
     return packed.groupBy("chunk").applyInArrow(common.one(run), RUN)
@@ -117,8 +121,8 @@ def _count(runs: DataFrame) -> DataFrame:
     ddl = "bucket int, chunk int, levels binary"
 
     def run(table: pa.Table) -> pa.Table:
-        width = table.column("width")[0].as_py()
-        parts = [_unplanes(x.as_buffer().to_pybytes(), width) for x in table.column("prints")]
+        bits = table.column("bits")[0].as_py()
+        parts = [_unplanes(x.as_buffer().to_pybytes(), bits) for x in table.column("prints")]
         counts = np.concatenate([np.frombuffer(common.unsqueeze(x.as_buffer().to_pybytes()), np.uint32) for x in table.column("counts")])
         sizes = [len(p) for p in parts]
         prints = np.concatenate(parts)
@@ -187,12 +191,12 @@ def _signature_table(chunk: chunks.Chunk, doc: np.ndarray, values: np.ndarray, l
     )
 
 
-def _signatures(packed: DataFrame, counted: DataFrame, buckets: int, n: int, percent: int, width: int) -> DataFrame:
+def _signatures(packed: DataFrame, counted: DataFrame, buckets: int, n: int, percent: int, bits: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = chunks.Chunk(left, lower=True)
         doc, values = shingle_sets(chunk, n)
         chunk.words = chunk.doc = None  # only ids are needed from here on
-        prints, entry, _ = _prints(values, width)
+        prints, entry, _ = _prints(values, bits)
         cuts = chunks.bucket_cuts(prints, buckets)
         known = np.ones(len(prints), np.uint8)
         del prints
@@ -205,13 +209,20 @@ def _signatures(packed: DataFrame, counted: DataFrame, buckets: int, n: int, per
     return packed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(common.two(run), SIGNATURE)
 
 
+def _asked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes that stored pairs (a, b, ..) name; where those are few, no other node's set travels."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return nodes.join(common.small_side(keys, "shingle-asked"), "key", "left_semi")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, ..) of node keys, those above the threshold, with _name()s beside; the sets are compared whole."""
+    """Of stored pairs (a, b, ..) of node keys, those above the threshold, with _name()s beside; the sets are compared whole."""
 
-    @F.pandas_udf("long")
-    def common_shingles(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
+    @F.arrow_udf("long")
+    def common_shingles(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)], pa.int64())
 
+    nodes = _asked(pairs, nodes)
     left = nodes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), _name().alias("named_a"))
     right = nodes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), _name().alias("named_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("met", common_shingles("sa", "sb"))
@@ -230,6 +241,9 @@ def _settled(wide: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | Non
     that have become one; classes grow eightfold, so rounds grow with the logarithm of the pairs between two components.
     """
     left, links, classes = common.stored(wide, "shingle-pairs"), None, 1
+    if left.isEmpty():
+        return None
+    nodes = common.stored(_asked(left, nodes), "shingle-asked")
     while not left.isEmpty():
         chance = F.xxhash64("a", "b")
         drawn = left.groupBy("cx", "cy", F.pmod(chance, F.lit(classes)).alias("class")).agg(F.min(F.struct(chance.alias("chance"), "a", "b")).alias("one"))
@@ -272,11 +286,11 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
     """Per document: doc_id, n_shingles, component_id; see the module's text."""
     common.session_setup(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = chunks.measure(docs)
-    buckets, width = chunks.buckets_for(size["bytes"]), print_bytes(size["bytes"])
+    size = chunks.measure(docs, chunk_bytes=CHUNK_BYTES)
+    buckets, bits = chunks.buckets_for(size["bytes"]), print_bits(size["bytes"])
     packed = chunks.pack(docs, size["bounds"])
-    counted = _count(_runs(packed, buckets, n, width))
-    signs = common.stored(_signatures(packed, counted, buckets, n, percent, width), "shingle-signatures")
+    counted = _count(_runs(packed, buckets, n, bits))
+    signs = common.stored(_signatures(packed, counted, buckets, n, percent, bits), "shingle-signatures")
     alone = signs.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rest = signs.filter("set_key IS NOT NULL")
 
@@ -285,8 +299,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
     nodes = common.stored(nodes, "shingle-nodes")
     groups = nodes.groupBy("kind").agg(F.min("key").alias("centre"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"), F.max(F.octet_length("shared") / 8).alias("held"), *(f(F.col("bits")[i]).alias(f"{c}{i}") for c, f in (("all", F.bit_and), ("any", F.bit_or)) for i in range(PARTS)))
     groups = common.stored(groups, "shingle-groups")
-    bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(PARTS)]
-    members = nodes.select("key", "low", "kind", "n", (F.octet_length("shared") / 8).alias("held"), *bits).join(groups.select("kind", "centre"), "kind")
+    maps = [F.col("bits")[i].alias(f"bits{i}") for i in range(PARTS)]
+    members = nodes.select("key", "low", "kind", "n", (F.octet_length("shared") / 8).alias("held"), *maps).join(groups.select("kind", "centre"), "kind")
     members = common.stored(members.drop("kind"), "shingle-members")
     posts = common.stored(groups.selectExpr("centre AS g", "n", "inline(arrays_zip(prefix, places)) AS (token, place)"), "shingle-posts")
 
@@ -297,7 +311,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, star
         hub = hub.select("token", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.place").alias("hp"))
         met = posts.join(hub, "token").filter((F.col("g") != F.col("h")) & _may_link(F.col("n"), F.col("place"), F.col("hn"), F.col("hp"), percent))
         pairs = pairs.union(met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")))
-    links = common.stored(_verified(pairs.distinct(), nodes, percent).select(F.col("named_a").alias("a"), F.col("named_b").alias("b")), "shingle-links")
+    pairs = common.stored(pairs.distinct(), "shingle-stars")
+    links = common.stored(_verified(pairs, nodes, percent).select(F.col("named_a").alias("a"), F.col("named_b").alias("b")), "shingle-links")
     comps = connected(links)
 
     placed = members.join(comps.select("key.key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", _name()))

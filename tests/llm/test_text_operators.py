@@ -134,6 +134,29 @@ def test_jaccard_odd_ids(spark):
     assert ngram_jaccard.jaccard_components(table(spark, [])).count() == 0
 
 
+def test_fingerprints_for_counting_take_bits():
+    assert [ngram_jaccard.print_bits(n) for n in (0, 172_961_921, 863_738_755, 1 << 62)] == [14, 39, 41, 64]
+    values = np.random.default_rng(3).integers(0, 1 << 64, 50_000, np.uint64)
+    packed = {}
+    for bits in (14, 41, 48, 64):
+        prints, entry, counts = ngram_jaccard._prints(values, bits)
+        assert (prints[entry] == values >> np.uint64(64 - bits) << np.uint64(64 - bits)).all() and counts.sum() == len(values)
+        packed[bits] = ngram_jaccard._planes(prints, bits)
+        assert (ngram_jaccard._unplanes(packed[bits], bits) == prints).all()
+    assert len(packed[41]) < 0.85 * len(packed[48])
+
+
+def test_verifying_pairs_moves_only_their_own_sets(spark, monkeypatch):
+    nodes = spark.createDataFrame([(bytes([i]), bytes(8 * i)) for i in range(6)], "key binary, shared binary")
+    pairs = spark.createDataFrame([(bytes([1]), bytes([2])), (bytes([2]), bytes([4]))], "a binary, b binary")
+    for most in (10, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        assert sorted(bytes(r.key)[0] for r in ngram_jaccard._asked(pairs, nodes).collect()) == [1, 2, 4]
+    texts = [" ".join(f"w{k}" for k in range(at, at + 40)) for at in (0, 1, 2, 100, 101, 200)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(table(spark, texts), 3, 90).collect()}
+    assert len({got[i] for i in got if i in sorted(got)[:3]}) == 1 and len(set(got.values())) == 3
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     item = [f"w{rng.randint(0, 3000)}" for _ in range(30)]
