@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("panelforge.llm")
-from panelforge.llm import bpe, chunks, common, decontamination, html_blocks, license_scan, media, ngram_jaccard, secret_scan, substring_dedup, token_files, toxicity  # noqa: E402
+from panelforge.llm import bpe, chunks, common, components, decontamination, html_blocks, license_scan, media, ngram_jaccard, secret_scan, substring_dedup, token_files, toxicity  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, key string"
@@ -134,6 +134,20 @@ def test_jaccard_odd_ids(spark):
     assert ngram_jaccard.jaccard_components(table(spark, [])).count() == 0
 
 
+def test_rounds_of_components_write_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components.connected(common.stored(spark.createDataFrame([(i, i + 1) for i in range(400) if i % 100], "a long, b long"), "links"))
+        got = {r.key: r.comp for r in found.collect()}
+        assert got == {k: max(1, (k - 1) // 100 * 100 + 1) for k in got} and len(got) == 400
+        assert len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_fingerprints_for_counting_take_bits():
     assert [ngram_jaccard.print_bits(n) for n in (0, 172_961_921, 863_738_755, 1 << 62)] == [14, 39, 41, 64]
     values = np.random.default_rng(3).integers(0, 1 << 64, 50_000, np.uint64)
