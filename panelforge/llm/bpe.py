@@ -209,14 +209,9 @@ class Bpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_models: dict[str, Bpe] = {}
-
-
 def model(path: str) -> Bpe:
     """This process's model of a tokenizer file."""
-    if path not in _models:
-        _models[path] = Bpe(path)
-    return _models[path]
+    return common.held(path, lambda: Bpe(path))
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -235,4 +230,4 @@ def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                     texts.append(hashlib.sha256(bpe.decode(found).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(common.each(run), RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(common.each(run, tokenizer), RESULT)

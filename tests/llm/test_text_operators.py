@@ -237,6 +237,16 @@ def test_bpe_matches_the_library():
         assert own.encode_ids(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_workers_drop_what_other_operators_hold():
+    path, batch = common.tokenizer_file("byte_bpe_50k.json"), [1]
+    assert bpe.model(path) is bpe.model(path)
+    assert list(common.each(iter, path)(batch)) == batch and path in common._held
+    for other in (lambda: list(common.each(iter)(batch)), lambda: common.one(len)(batch), lambda: common.two(max)(1, 2)):
+        bpe.model(path)
+        other()
+        assert not common._held
+
+
 def test_bpe_table(spark):
     rows = bpe.bpe_digests(table(spark, [None, "", "a b", "a b"]), common.tokenizer_file("byte_bpe_50k.json")).collect()
     empty = hashlib.sha256(b"").hexdigest()
