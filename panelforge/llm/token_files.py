@@ -19,7 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,27 +37,50 @@ END = 1
 WORDS = 400_000
 #: Shards whose starts (12 bytes each) are broadcast, at most.
 BROADCAST_ROWS = 2_000_000
-#: Blocks packed at a time.
-BATCH = 256
+#: Blocks packed at a time, and bytes of text encoded at a time (or one text).
+BATCH, BATCH_BYTES = 256, 1 << 20
 
 FILES = "chunk int, n_ids long, ids binary, known binary, file binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-#: Marks after an ASCII letter at a word's end: the tokenizer parts them from the letters.
-TAIL = re.compile(rb"(?<=[A-Za-z])([!-/:-@\[-`{-~]+)(?=[\x09-\x0d ]|$)")
+#: ASCII letters, marks and white space among the bytes.
+LETTER, MARK, BLANK = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+for _b in range(33, 127):
+    KIND[_b] = LETTER if chr(_b).isalpha() else 0 if chr(_b).isdigit() else MARK
+KIND[[9, 10, 11, 12, 13, 32]] = BLANK
+#: Stands for the end of a text among units; no UTF-8 has this byte.
+STOP = b"\xff"
 
 
-def units(text: bytes) -> list[bytes]:
-    """Parts of a text that are encoded alone: words without the marks at their end, the marks, in small letters.
+def parted(text: bytes) -> bytes:
+    """text, which ends with white space, with a space before marks at a word's end that follow an ASCII letter: the tokenizer parts them."""
+    data = np.frombuffer(text, np.uint8)
+    kind = KIND[data]
+    mark = kind == MARK
+    at = np.flatnonzero(mark[1:] & (kind[:-1] == LETTER)) + 1
+    ends = np.flatnonzero(mark[:-1] & ~mark[1:]) + 1
+    return np.insert(data, at[kind[ends[np.searchsorted(ends, at, "right")]] == BLANK], 32).tobytes()
+
+
+def units(texts: list[bytes]) -> list[bytes]:
+    """Parts of texts that are encoded alone: words without the marks at their end, the marks, in small letters; STOP after each text.
 
     Texts with a special token's beginning are only split, those with combining marks (U+0300 on) aren't lower-cased here:
     a few of these marks join with small letters alone.
     """
-    if b"<|" in text:
-        return text.split()
-    text = TAIL.sub(rb" \1", text)
-    return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+    whole = b"".join([b"%b \xff " % t for t in texts])
+    if not (b"<|" in whole or b"\xcc" in whole or b"\xcd" in whole or whole.count(STOP) > len(texts)):
+        return parted(whole).lower().split()
+    out = []
+    for t in texts:
+        if b"<|" not in t:
+            t = parted(t + b" ")
+            t = t if b"\xcc" in t or b"\xcd" in t else t.lower()
+        out += [w if w != STOP else "\ufffd".encode() for w in t.split()]
+        out.append(STOP)
+    return out
 
 
 #: Words that the normaliser leaves alone and the splitter leaves whole: the model alone gives their ids.
@@ -69,8 +92,8 @@ BYTE_LETTERS = {b: c for b, c in enumerate(byte_letters()) if ord(c) != b}
 class Entries(dict):
     """Numbers of words; a word that is asked for the first time gets the next one and is noted as new."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known: dict[bytes, int]) -> None:
+        super().__init__(known)
         self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -102,9 +125,10 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
-        self.entry = Entries()
+        self.entry = Entries({STOP: 0})
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1, np.int64)
+        self.flat[0] = END
+        self.bounds = np.array([0, 1], np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         """Encode new words, in the order of their numbers."""
@@ -140,22 +164,16 @@ class WordEncoder:
         """All ids with END after each text, and where each text's ids end."""
         if len(self.entry) > WORDS:
             self.clear()
-        get, entries = self.entry.__getitem__, []
-        for t in texts:
-            words = units(t)
-            entries.append(np.fromiter(map(get, words), np.int64, len(words)))
+        words = units(texts)
+        e = np.fromiter(map(self.entry.__getitem__, words), np.int64, len(words))
+        del words
         self.learn(self.entry.new)
         self.entry.new = []
-        starts, sizes = self.bounds[:-1], np.diff(self.bounds)
-        out, ends, total = [], [], 0
-        for e in entries:
-            n = sizes[e]
-            to = np.cumsum(n)
-            m = int(to[-1]) if len(to) else 0
-            out += [self.flat[np.repeat(starts[e] - to + n, n) + np.arange(m)], np.array([END], np.uint32)]
-            total += m + 1
-            ends.append(total)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(ends, np.int64)
+        n = np.diff(self.bounds)[e]
+        to = np.cumsum(n)
+        places = np.repeat(self.bounds[e] - to + n, n)
+        places += np.arange(len(places))
+        return self.flat[places], to[e == 0]
 
 
 def widths_of(values: np.ndarray, percentile: int = PERCENTILE) -> np.ndarray:
@@ -234,9 +252,6 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.ravel()[:total], ends
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encode docs and write the shard files as a table of the shared folder; returns that table."""
     common.session_setup(docs.sparkSession)
@@ -244,19 +259,18 @@ def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
     packed = chunks.pack(docs, chunks.measure(docs)["bounds"])
 
     def run(table: pa.Table) -> pa.Table:
-        encoder = _encoders.get(tokenizer)
-        if encoder is None:
-            encoder = _encoders[tokenizer] = WordEncoder(tokenizer)
+        encoder = common.held(tokenizer, lambda: WordEncoder(tokenizer))
         ids, known, texts = chunks.unpack(table)
         out, ends, total = [], [], 0
-        for at in range(0, len(texts), 250):
-            part, to = encoder.encode(texts[at : at + 250])
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // BATCH_BYTES)) + 1
+        for at, then in pairwise([0, *cuts.tolist(), len(texts)]):
+            part, to = encoder.encode(texts[at:then])
             out.append(part)
             ends.append(to + total)
             total += len(part)
         return common.arrow_table([(table.column("chunk")[0].as_py(), total, ids.tobytes(), known.tobytes(), write_file(np.concatenate(out), np.concatenate(ends)))], FILES)
 
-    return common.stored(packed.groupBy("chunk").applyInArrow(common.one(run), FILES), "token-files")
+    return common.stored(packed.groupBy("chunk").applyInArrow(common.one(run, tokenizer), FILES), "token-files")
 
 
 def read_shards(files: DataFrame) -> DataFrame:

@@ -266,6 +266,17 @@ def test_token_files(spark):
     assert token_files.read_shards(token_files.write_shards(table(spark, []), path)).count() == 0
 
 
+def test_texts_are_cut_into_units_together():
+    """Marks at a word's end are parted as a regular expression parts them, over many texts at once."""
+    tail = re.compile(rb"(?<=[A-Za-z])([!-/:-@\[-`{-~]+)(?=[\x09-\x0d ]|$)")
+    texts = [t.encode() for t in [*spiced(300, 3), "", "a.", ".a", "it's (so)...", "x-y!? \t5%", "B" + "=" * 5000, "a.\n"]]
+    plain = [t for t in texts if not any(b in t for b in (b"<|", b"\xcc", b"\xcd"))]
+    want = [w for t in plain for w in (*tail.sub(rb" \1", t).lower().split(), token_files.STOP)]
+    assert len(plain) > 100 and token_files.units(plain) == want
+    assert token_files.units(texts) == [w for t in texts for w in token_files.units([t])]
+    assert token_files.units([b"a \xff b"]) == [b"a", "\ufffd".encode(), b"b", token_files.STOP]
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
